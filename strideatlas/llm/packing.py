@@ -151,24 +151,24 @@ def cut_windows(docs: DataFrame, vocabulary: str, s: Settings, groups: int) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):  # a few hundred documents at a time, so little is held at once
+                yield tokens_of(batch.slice(first, 256))
+
+    def tokens_of(batch):
         import xxhash
         import zlib
 
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = token_ids(text or "", vocabulary, s.end_id)
-                group = xxhash.xxh3_64_intdigest(ids.tobytes(), len(ids)) % groups
-                for start in range(0, len(ids), s.window):
-                    part = ids[start : start + s.window].tobytes()
-                    full = len(part) == 4 * s.window
-                    for column, value in zip(out, (at, group, start, len(part) // 4, zlib.crc32(part) if full else None, len(ids), part if s.keep_ids or not full else None), strict=True):
-                        column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield batch_of(batch, out)
-                    out = [[] for _ in range(7)]
-            if out[0]:
-                yield batch_of(batch, out)
+        out: list[list] = [[] for _ in range(7)]
+        for at, text in enumerate(batch.column("text").to_pylist()):
+            ids = token_ids(text or "", vocabulary, s.end_id)
+            group = xxhash.xxh3_64_intdigest(ids.tobytes(), len(ids)) % groups
+            for start in range(0, len(ids), s.window):
+                part = ids[start : start + s.window].tobytes()
+                full = len(part) == 4 * s.window
+                for column, value in zip(out, (at, group, start, len(part) // 4, zlib.crc32(part) if full else None, len(ids), part if s.keep_ids or not full else None), strict=True):
+                    column.append(value)
+        return batch_of(batch, out)
 
     def batch_of(batch, out):
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], (*[pa.int64()] * 5, pa.binary()), strict=True))], ["doc_id", "grp", "start", "length", "ids_crc32", "doc_tokens", "ids"])
