@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import explore
+
+MODULES = (explore,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.PLANS.items() if sql}
