@@ -73,18 +73,24 @@ def novelty(samples: DataFrame, seen: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fold_imports(imports: DataFrame, within_ms: int = 10 * 60_000) -> DataFrame:
-    """Chunks of one import (source, file_name) that follow within ten minutes of its first are one record: items add up,
-    the last note stays. imports (seq, at_ms, source, file_name, items, note); a chunk is one whose note starts 'part '.
-
-    The time runs from the record's first chunk, so records are cut by a running maximum of record starts."""
-    w = Window.partitionBy("source", F.coalesce("file_name", F.lit(""))).orderBy("seq")
-    chunk = F.coalesce(F.startswith("note", F.lit("part ")), F.lit(False))
-    head = imports.withColumn("chunk", chunk)
-    # a chunk continues the latest record; it may be a new record only if that record began too long ago
-    head = head.withColumn("lead", F.last(F.when(~F.col("chunk"), F.col("at_ms")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = ~F.col("chunk") | F.col("lead").isNull() | (F.col("at_ms") - F.col("lead") >= within_ms)
-    rows = head.withColumn("record", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("source", "file_name", "record").agg(F.min("at_ms").alias("at_ms"), F.sum("items").alias("items"), F.max_by("note", "seq").alias("note"))
+    """Chunks of one import (source, file_name) that follow within ten minutes of their record's first are one record:
+    items add up, the last note stays. imports (seq, at_ms, source, file_name, items, note); a chunk's note starts 'part '.
+
+    Whether a record starts depends on where the one before it did, so each log is folded in order; a log is what one
+    user's imports of one file left, which is small."""
+    entry = F.struct("seq", "at_ms", "items", "note")
+    logs = imports.groupBy("source", "file_name").agg(F.array_sort(F.collect_list(entry)).alias("log"))
+
+    def fold(records, x):
+        goes_on = (F.size(records) > 0) & F.coalesce(F.startswith(x["note"], F.lit("part ")), F.lit(False)) & (x["at_ms"] - F.try_element_at(records, F.lit(-1))["at_ms"] < within_ms)
+        fresh = F.struct(x["at_ms"].alias("at_ms"), x["items"].alias("items"), x["note"].alias("note"))
+        old = F.try_element_at(records, F.lit(-1))
+        joined = F.struct(old["at_ms"].alias("at_ms"), (old["items"] + x["items"]).alias("items"), x["note"].alias("note"))
+        return F.when(goes_on, F.concat(F.slice(records, F.lit(1), F.size(records) - 1), F.array(joined))).otherwise(F.concat(records, F.array(fresh)))
+
+    none = F.array().cast("array<struct<at_ms:bigint,items:bigint,note:string>>")
+    out = logs.withColumn("records", F.aggregate("log", none, fold))
+    return out.select("source", "file_name", F.posexplode("records").alias("at", "r")).select("source", "file_name", (F.col("at") + 1).cast("long").alias("record"), "r.at_ms", "r.items", "r.note")
 
 
 def lookup(cells: DataFrame, counts: DataFrame) -> DataFrame:

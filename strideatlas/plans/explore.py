@@ -249,25 +249,34 @@ FROM samples s LEFT JOIN near n ON n.cx = s.cx AND n.cy = s.cy WHERE s.device >=
 def import_log(spark, d):
     f = fixes(spark, d)
     rows = f.select(F.col("fix_id").alias("seq"), (F.col("t_ms") * 3).alias("at_ms"), F.concat(F.lit("src"), (F.col("device") % 7).cast("string")).alias("source"), F.when(F.col("device") % 3 > 0, F.concat(F.lit("f"), (F.col("device") % 3).cast("string"))).alias("file_name"), (F.col("acc") + 1).alias("items"), F.when(F.col("fix_id") % 50 < 46, F.concat(F.lit("part "), F.col("fix_id").cast("string"))).alias("note"))
-    return grid.fold_imports(rows)
+    return grid.fold_imports(rows).withColumn("note", F.coalesce("note", F.lit("-")))
 
 
 IMPORT_LOG = f"""WITH f AS ({FIXES_SQL}), r AS (SELECT fix_id AS seq, t_ms * 3 AS at_ms, 'src' || (device % 7) AS source, CASE WHEN device % 3 > 0 THEN 'f' || (device % 3) END AS file_name, acc + 1 AS items, CASE WHEN fix_id % 50 < 46 THEN 'part ' || fix_id END AS note FROM f),
-l AS (SELECT *, last_value(CASE WHEN note IS NULL THEN at_ms END IGNORE NULLS) OVER (PARTITION BY source, file_name ORDER BY seq ROWS UNBOUNDED PRECEDING) AS lead FROM r),
-g AS (SELECT *, sum(CASE WHEN note IS NULL OR lead IS NULL OR at_ms - lead >= 600000 THEN 1 ELSE 0 END) OVER (PARTITION BY source, file_name ORDER BY seq ROWS UNBOUNDED PRECEDING) AS record FROM l)
-SELECT source, file_name, CAST(record AS BIGINT) AS record, min(at_ms) AS at_ms, CAST(sum(items) AS BIGINT) AS items, max_by(note, CASE WHEN note IS NOT NULL THEN seq END) AS note FROM g GROUP BY source, file_name, record"""
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, file_name ORDER BY seq) AS k FROM r),
+c AS (
+  WITH RECURSIVE w AS (
+    SELECT source, file_name, k, at_ms, items, note, at_ms AS start, 1 AS record FROM o WHERE k = 1
+    UNION ALL
+    SELECT o.source, o.file_name, o.k, o.at_ms, o.items, o.note,
+           CASE WHEN o.note IS NOT NULL AND o.at_ms - w.start < 600000 THEN w.start ELSE o.at_ms END,
+           CASE WHEN o.note IS NOT NULL AND o.at_ms - w.start < 600000 THEN w.record ELSE w.record + 1 END
+    FROM w JOIN o ON o.source = w.source AND o.file_name IS NOT DISTINCT FROM w.file_name AND o.k = w.k + 1)
+  SELECT * FROM w)
+SELECT source, file_name, CAST(record AS BIGINT) AS record, min(at_ms) AS at_ms, CAST(sum(items) AS BIGINT) AS items, max_by(coalesce(note, '-'), k) AS note
+FROM c GROUP BY source, file_name, record"""
 
 
 def day_merge(spark, d):
     """Pulled points join the stored day tracks; the stored point of a time wins."""
-    f = fixes(spark, d).withColumn("t_ms", F.col("t_ms") - F.col("t_ms") % 20000)
+    f = fixes(spark, d).withColumn("t_ms", F.col("t_ms") - F.col("t_ms") % 10000)
     stored = f.where("fix_id % 3 = 0").groupBy("t_ms").agg(F.min_by("lon", "fix_id").alias("lon"), F.min_by("lat", "fix_id").alias("lat")).withColumn("day", F.to_date(F.timestamp_millis("t_ms")))
     new = f.where("fix_id % 3 > 0").withColumnRenamed("fix_id", "arrival")
     out = tracks.merge_into_days(new, stored)
     return out.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("points"), F.sum(F.col("is_new").cast("int")).cast("long").alias("added"), tracks.round3(F.sum("lon")).alias("sum_lon"))
 
 
-DAY_MERGE = f"""WITH f AS ({FIXES_SQL}), q AS (SELECT *, t_ms - t_ms % 20000 AS t FROM f),
+DAY_MERGE = f"""WITH f AS ({FIXES_SQL}), q AS (SELECT *, t_ms - t_ms % 10000 AS t FROM f),
 old AS (SELECT t, min_by(lon, fix_id) AS lon, 0 AS is_new, 0 AS arrival FROM q WHERE fix_id % 3 = 0 GROUP BY t),
 al AS (SELECT * FROM old UNION ALL SELECT t, lon, 1, fix_id FROM q WHERE fix_id % 3 > 0 AND acc <= 50),
 m AS (SELECT *, CAST(epoch_ms(t) AS DATE) AS day FROM al QUALIFY row_number() OVER (PARTITION BY t ORDER BY is_new, arrival) = 1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import explore
+from .plans import explore, tiling
 
-MODULES = (explore,)
+MODULES = (explore, tiling)
 
 
 def queries() -> dict:
