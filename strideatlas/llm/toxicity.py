@@ -230,8 +230,9 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     return net, calibrate(net, [t for t, h in zip(texts, held, strict=True) if h], y[held], [r["lang"] for r, h in zip(rows, held, strict=True) if h], weight)
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
+def score(docs: DataFrame, net: Net, keep_text: bool = False) -> DataFrame:
     """docs with ``score``; reads nothing but the text. The net's size is fixed by its settings (some 2 MB)."""
+    keep = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches):
         scorer = None if net.constant is not None else Scorer(net)
@@ -239,23 +240,24 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             texts = byte_texts(batch)
             found = [scorer.net.probability(scorer.logits(texts[a:b])) for a, b in in_slices(texts, net.s.slice_bytes)] if scorer else [np.full(len(texts), net.constant)]
             values = np.concatenate([*found, np.zeros(0)]).astype(np.float64)
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(values)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(values)], [*keep, "toxic_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(run, f"{kinds}, toxic_score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, score, the language's threshold and ``rejected`` for each row of ``docs``."""
+def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_text: bool = True) -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` with toxic_score, the language's toxic_threshold and ``rejected``."""
     net, thresholds = learn(docs, labels, s)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    scored = score(docs.select("doc_id", "text", lang), net)
+    scored = score(docs, net, keep_text)
     pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
-    own = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit(""))), F.lit(thresholds[None])) if pairs else F.lit(thresholds[None])
-    return scored.withColumn("threshold", own).withColumn("rejected", F.col("score") >= F.col("threshold")).drop("lang")
+    own = F.lit(thresholds[None])
+    if pairs and "lang" in docs.columns:
+        own = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit(""))), own)
+    return scored.withColumn("toxic_threshold", own).withColumn("rejected", F.col("toxic_score") >= F.col("toxic_threshold"))
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    scored = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False).withColumnsRenamed({"toxic_score": "score", "toxic_threshold": "threshold"})
     return scored.select("doc_id", F.coalesce(bucket_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
