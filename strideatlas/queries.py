@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import explore, tiling
+from .plans import explore, network, scalars, tiling
 
-MODULES = (explore, tiling)
+MODULES = (explore, tiling, network, scalars)
 
 
 def queries() -> dict:
