@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, checkpointed, documents, in_slices, mix64
+from .common import byte_texts, checkpointed, documents, in_slices, mix64
 
 
 @dataclass(frozen=True)
@@ -34,20 +34,55 @@ class Settings:
     window: int = 35
     minimiser: int = 6
     hot_share: float = 5e-5  # of all runs; a run with a larger share ranks last
-    group_bytes: int = 6_000_000
-    seed: int = 8
+    group_bytes: int = 4_000_000
 
 
-ODD = np.uint64(0xA24BAED4963EE407)
+BASE = 0xA24BAED4963EE407
 HOT = np.uint64(1 << 63)
-
-
-def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    out = h[: len(h) - n + 1].copy()
-    for i in range(1, n):
-        out *= ODD
-        out += h[i : len(h) - n + 1 + i]
-    return mix64(out) >> np.uint64(1)
+LONGEST = 1 << 20  # bytes of a run of documents that is hashed at once
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE^i and BASE^-i (modulo 2^64) for i < n; kept, as every buffer needs them."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            x = np.full(n, base, dtype=np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x, dtype=np.uint64)
+    return _powers
+
+
+class Words:
+    """Words of a buffer in which one space parts words and one line feed parts texts (none of them empty). Hashes of any
+    substrings come from one running sum, whatever their length, and do not depend on where they stand."""
+
+    def __init__(self, buffer: bytes):
+        self.buffer = buffer
+        b = np.frombuffer(buffer + b"\n", dtype=np.uint8)
+        self.ends = np.flatnonzero((b == 32) | (b == 10))
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+        last = b[self.ends] == 10
+        self.owner = np.cumsum(last) - last  # the text of each word
+        up, self.down = powers(len(b) + 1)
+        sums = np.empty(len(b) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        self.sums = sums
+
+    def hashes(self, first: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each of ``first``."""
+        a, b = self.starts[first], self.ends[first + n - 1]
+        return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+
+    def windows(self, n: int) -> np.ndarray:
+        """First words of all runs of n words of one text."""
+        if len(self.owner) < n:
+            return np.zeros(0, dtype=np.int64)
+        return np.flatnonzero(self.owner[n - 1 :] == self.owner[: len(self.owner) - n + 1])
+
+    def slice(self, first: int, n: int) -> bytes:
+        return self.buffer[self.starts[first] : self.ends[first + n - 1]]
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -64,16 +99,16 @@ def survey(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]:
     only, so at most 1 / hot_share rows leave it and at most about twice as many reach the driver."""
 
     def run(batches):
-        known = WordHashes(seed=s.seed)
         for batch in batches:
             texts = byte_texts(batch)
-            for a, b in in_slices(texts, 8_000_000):
-                rows = [known.of(w) for w in (t.split() for t in texts[a:b]) if len(w) >= s.window]
-                runs = np.concatenate([run_hashes(h, s.minimiser) for h in rows]) if rows else np.zeros(0, dtype=np.uint64)
+            for a, b in in_slices(texts, 2 * LONGEST):
+                lists = [t.split() for t in texts[a:b]]
+                words = Words(b"\n".join(b" ".join(w) for w in lists if len(w) >= s.window) or b"-")
+                runs = words.hashes(words.windows(s.minimiser), s.minimiser) >> np.uint64(1)
                 values, counts = np.unique(runs, return_counts=True)
                 often = counts >= max(8, len(runs) * s.hot_share)
-                head = (0, len(runs), sum(map(len, texts[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[head[0]], values[often].view(np.int64)]).astype(np.int64)), pa.array(np.concatenate([[head[1]], counts[often]]).astype(np.int64)), pa.array(np.concatenate([[head[2]], np.zeros(often.sum())]).astype(np.int64)), pa.array(np.concatenate([[True], np.zeros(often.sum())]).astype(bool))], ["run", "n", "bytes", "head"])
+                none = np.zeros(often.sum(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(counts[often], len(runs))), pa.array(np.append(none, sum(map(len, texts[a:b])))), pa.array(np.append(none, 1).astype(bool))], ["run", "n", "bytes", "head"])
 
     found = docs.select("text").mapInArrow(run, "run long, n long, bytes long, head boolean").groupBy("head", "run").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     found = checkpointed(found)
@@ -86,103 +121,81 @@ def survey(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]:
 class Group:
     """The documents of one group in a fixed order, and their distinct super-k-mers by bucket."""
 
-    def __init__(self, table: pa.Table, s: Settings, hot: np.ndarray, buckets: int, known: WordHashes):
-        self.words = [t.split() for t in byte_texts(table)]
+    def __init__(self, table: pa.Table, s: Settings, hot: np.ndarray, buckets: int):
+        self.n_words, self.texts = [], []
+        for t in byte_texts(table):
+            w = t.split()
+            self.n_words.append(len(w))
+            self.texts.append(b" ".join(w))
         self.strings: dict[int, dict[bytes, int]] = {}  # bucket -> string -> number in the bucket
         self.uses: dict[int, list[list[tuple[int, int]]]] = {}  # bucket -> number -> (document, first word)
-        for d, words in enumerate(self.words):
-            if len(words) < s.window:
-                continue
-            r = run_hashes(known.of(words), s.minimiser)
-            if len(hot):
-                at = np.searchsorted(hot, r)
-                r = np.where(hot[np.minimum(at, len(hot) - 1)] == r, r | HOT, r)
-            least = sliding_min(r, s.window - s.minimiser + 1)
-            starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            ends = np.append(starts[1:], len(least)) + s.window - 1
-            joined = b" ".join(words)
-            offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
-            to = (mix64(least[starts]) % np.uint64(buckets)).tolist()
-            for b, first, i, j in zip(to, starts.tolist(), offset[starts].tolist(), offset[ends].tolist(), strict=True):
-                own, string = self.strings.setdefault(b, {}), joined[i : j - 1]
-                k = own.setdefault(string, len(own))
-                uses = self.uses.setdefault(b, [])
-                if k == len(uses):
-                    uses.append([])
-                uses[k].append((d, first))
+        some = [d for d, n in enumerate(self.n_words) if n >= s.window]
+        for a, b in in_slices([self.texts[d] for d in some], LONGEST):
+            self.cut(some[a:b], s, hot, buckets)
+
+    def cut(self, docs: list[int], s: Settings, hot: np.ndarray, buckets: int) -> None:
+        words = Words(b"\n".join(self.texts[d] for d in docs))
+        m, count = s.minimiser, len(words.owner)
+        r = words.hashes(np.arange(count - m + 1), m) >> np.uint64(1)
+        if len(hot):
+            at = np.searchsorted(hot, r)
+            r = np.where(hot[np.minimum(at, len(hot) - 1)] == r, r | HOT, r)
+        least = sliding_min(r, s.window - m + 1)
+        window = words.windows(s.window)
+        value = least[window]
+        fresh = np.concatenate([[True], (np.diff(window) != 1) | (value[1:] != value[:-1])])
+        begin = np.flatnonzero(fresh)
+        first, last = window[begin], window[np.append(begin[1:], len(window)) - 1]
+        base = np.searchsorted(words.owner, np.arange(len(docs)))  # first word of each document
+        doc = words.owner[first]
+        to = (mix64(value[begin]) % np.uint64(buckets)).tolist()
+        rows = zip(to, np.array(docs)[doc].tolist(), (first - base[doc]).tolist(), words.starts[first].tolist(), words.ends[last + s.window - 1].tolist(), strict=True)
+        buffer, strings, uses = words.buffer, self.strings, self.uses
+        for bucket, d, at, i, j in rows:
+            own, string = strings.setdefault(bucket, {}), buffer[i:j]
+            k = own.setdefault(string, len(own))
+            used = uses.setdefault(bucket, [])
+            if k == len(used):
+                used.append([(d, at)])
+            else:
+                used[k].append((d, at))
 
 
 def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def repeated_windows(strings: list[bytes], more: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(string, first window, end) of runs of windows whose word sequence starts twice or more among all strings, where a
-    marked string counts twice. Sorted by a hash of exact word numbers, equal neighbours are compared word by word."""
-    known: dict[bytes, int] = {}
-    lists = [x.split(b" ") for x in strings]
-    sizes = np.array([len(x) for x in lists])
-    ids = np.fromiter((known.setdefault(w, len(known)) for x in lists for w in x), dtype=np.int64, count=sizes.sum())
-    del lists, known
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n_windows = sizes - window + 1
-    owner = np.repeat(np.arange(len(strings)), n_windows)
-    within = np.arange(n_windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows)
-    at = first[owner] + within
-    h = rolling(mix64(ids.astype(np.uint64) + np.uint64(1)), window)[at]
+def repeated_windows(blob: bytes, more: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(string, first window, end) of runs of windows whose word sequence starts twice or more among all strings of the
+    blob (one for each line), where a marked string counts twice. Windows are sorted by a hash; equal neighbours are
+    compared byte by byte, and a hash that two different sequences share is settled by the sequences themselves."""
+    words = Words(blob)
+    at = words.windows(window)
+    h, owner = words.hashes(at, window), words.owner[at]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
-    pairs = np.flatnonzero(same)
-    if len(pairs):
-        x, y, equal = at[order[pairs]], at[order[pairs + 1]], np.ones(len(pairs), dtype=bool)
-        for i in range(window):
-            equal &= ids[x + i] == ids[y + i]
-        if not equal.all():  # different windows under one hash: sort those runs by their words
-            order, same = resorted(ids, at, h, order, window)
     run = np.concatenate([[0], np.cumsum(~same)])
+    a, b = words.starts[at], words.ends[at + window - 1]
+    pairs = np.flatnonzero(same)
+    differ = set()
+    for k, i, j, m, n in zip(pairs.tolist(), a[order[pairs]].tolist(), b[order[pairs]].tolist(), a[order[pairs + 1]].tolist(), b[order[pairs + 1]].tolist(), strict=True):
+        if blob[i:j] != blob[m:n]:
+            differ.add(int(run[k]))
     total = np.bincount(run, weights=1 + more[owner[order]])
     repeated = np.zeros(len(at), dtype=bool)
     repeated[order] = total[run] >= 2
-    edge = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = []
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        while a < b:  # a run may pass from one string into the next
-            k = int(owner[a])
-            end = min(b, a + int(n_windows[k] - within[a]))
-            out.append((k, int(within[a]), int(within[a]) + end - a))
-            a = end
-    return out
-
-
-def rolling(x: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of every n consecutive values, by doubling."""
-    length = 1
-    need, done, out, base = n, 0, None, x
-    while need:
-        if need & 1:
-            piece = base
-            if out is None:
-                out, done = piece, length
-            else:
-                m = len(x) - done - length + 1
-                out = out[:m] * pow_u64(ODD, length) + piece[done : done + m]
-                done += length
-        need >>= 1
-        if need:
-            base = base[: len(base) - length] * pow_u64(ODD, length) + base[length:]
-            length *= 2
-    return mix64(out)
-
-
-def pow_u64(base: np.uint64, n: int) -> np.uint64:
-    return np.uint64(pow(int(base), n, 1 << 64))
-
-
-def resorted(ids: np.ndarray, at: np.ndarray, h: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = ids[at[:, None] + np.arange(window)]
-    order = np.lexsort((*rows.T[::-1], h))
-    return order, (rows[order[1:]] == rows[order[:-1]]).all(axis=1)
+    for r in differ:
+        members = order[np.flatnonzero(run == r)]
+        times: dict[bytes, int] = {}
+        keys = [blob[a[x] : b[x]] for x in members]
+        for x, key in zip(members, keys, strict=True):
+            times[key] = times.get(key, 0) + 1 + int(more[owner[x]])
+        repeated[members] = [times[key] >= 2 for key in keys]
+    within = at - np.searchsorted(words.owner, owner)
+    on = repeated & np.concatenate([[True], ~repeated[:-1] | (np.diff(at) != 1)])  # starts of runs; a string's windows stand together
+    off = repeated & np.concatenate([~repeated[1:] | (np.diff(at) != 1), [True]])
+    begins, ends = np.flatnonzero(on), np.flatnonzero(off)
+    return list(zip(owner[begins].tolist(), within[begins].tolist(), (within[ends] + 1).tolist(), strict=True))
 
 
 def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()) -> DataFrame:  # noqa: B008
@@ -198,7 +211,7 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
-        group = Group(in_order(table), s, hot, buckets, WordHashes(seed=s.seed))
+        group = Group(in_order(table), s, hot, buckets)
         g = table.column("grp")[0].as_py()
         rows = [(b, g, compress(b"\n".join(own)), bytes(len(x) > 1 for x in group.uses[b])) for b, own in group.strings.items()]
         b, g, z, more = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -209,11 +222,10 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
 
         expand = zstandard.ZstdDecompressor().decompress
         table = table.sort_by("grp")
-        parts = [expand(z).split(b"\n") for z in table.column("z").to_pylist()]
-        strings = [x for p in parts for x in p]
-        from_part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        start = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        found = repeated_windows(strings, np.frombuffer(b"".join(table.column("more").to_pylist()), dtype=np.uint8).astype(np.int64), s.window)
+        more = [np.frombuffer(x, dtype=np.uint8) for x in table.column("more").to_pylist()]
+        from_part = np.repeat(np.arange(len(more)), [len(x) for x in more])
+        start = np.concatenate([[0], np.cumsum([len(x) for x in more])[:-1]])
+        found = repeated_windows(b"\n".join(expand(z) for z in table.column("z").to_pylist()), np.concatenate(more).astype(np.int64), s.window)
         answers: dict[int, list[int]] = {}
         for k, a, b in found:
             p = int(from_part[k])
@@ -226,30 +238,30 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = in_order(table)
-        group = Group(table, s, hot, buckets, WordHashes(seed=s.seed))
+        group = Group(table, s, hot, buckets)
         marks: dict[int, np.ndarray] = {}
         for bucket, runs in zip(answers.column("bucket").to_pylist(), answers.column("runs").to_pylist(), strict=True):
             for k, a, b in np.frombuffer(runs, dtype=np.int32).reshape(-1, 3).tolist():
                 for d, first in group.uses[bucket][k]:
                     mark = marks.get(d)
                     if mark is None:
-                        mark = marks[d] = np.zeros(len(group.words[d]) + 1, dtype=np.int64)
+                        mark = marks[d] = np.zeros(group.n_words[d] + 1, dtype=np.int64)
                     mark[first + a] += 1
                     mark[first + b + s.window - 1] -= 1
         removed, spans, kept = [], [], []
-        for d, words in enumerate(group.words):
+        for d, text in enumerate(group.texts):
             mark = marks.get(d)
             if mark is None:
                 removed.append(0)
                 spans.append([])
-                kept.append(b" ".join(words))
+                kept.append(text)
                 continue
             gone = np.cumsum(mark[:-1]) > 0
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             removed.append(int(gone.sum()))
             spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x))
-        more = [pa.array([len(w) for w in group.words], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())]
+            kept.append(b" ".join(w for w, x in zip(text.split(b" "), gone.tolist(), strict=True) if not x))
+        more = [pa.array(group.n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays([*(table.column(c) for c in names), *more], [*names, "n_words", "n_removed", "removed", "kept_text"])
 
     sent = dealt.select("doc_id", "text", "grp", *[c for c in names if c not in ("doc_id", "text")]).groupBy("grp").applyInArrow(send, "bucket long, grp long, z binary, more binary")
