@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_remainder, byte_texts, documents, in_slices
+from .common import bucket_remainder, byte_texts, documents, in_slices, mix64
 
 #: Families of closely related languages; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -48,12 +48,31 @@ def family_of(lang: str) -> str:
     return next((k for k, v in FAMILIES.items() if lang in v), lang)
 
 
-def word_features(word: str, s: Settings) -> list[int]:
+def word_features(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character n-grams and of the words themselves, word after word, and how many each word has.
+
+    N-grams of all words are hashed at once over one array of code points."""
     from zlib import crc32
 
-    w = f"<{word.lower()}>"
-    raw = [w[i : i + n] for n in s.grams for i in range(len(w) - n + 1)]
-    return [crc32(g.encode()) % s.buckets for g in (*raw, w)]
+    marked = [f"<{w.lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # code points from here to the word's end
+    buckets = [np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % s.buckets for w in marked), dtype=np.int64, count=len(marked))]
+    owners = [np.arange(len(marked))]
+    for n in s.grams:
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        h = codes[:m].copy()
+        for i in range(1, n):
+            h = h * np.uint64(0x9E6C63D0876A9A47) + codes[i : m + i]
+        inside = left[:m] >= n
+        buckets.append((mix64(h[inside] + np.uint64(n << 40)) % np.uint64(s.buckets)).astype(np.int64))
+        owners.append(owner[:m][inside])
+    owners_ = np.concatenate(owners)
+    return np.concatenate(buckets)[np.argsort(owners_, kind="stable")], np.bincount(owners_, minlength=len(marked))
 
 
 def machine(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
@@ -82,22 +101,27 @@ class Model:
     weights: np.ndarray  # (buckets + 1, machines): the families' first, then the pairs'
 
 
-def doc_vector(text: str, s: Settings, known: dict) -> np.ndarray:
-    total, words = np.zeros(s.buckets, dtype=np.float32), text.split()
-    for w in words:
-        f = known.get(w)
-        if f is None:
-            f = known[w] = np.array(word_features(w, s))
-        np.add.at(total, f, np.float32(1 / len(f)))
-    return total * np.float32(s.buckets**0.5 / max(1, len(words)))
+def doc_vectors(texts: list[str], s: Settings) -> np.ndarray:
+    """A row for each text: the mean over its words of each word's n-gram shares."""
+    index: dict[str, int] = {}
+    lists = [np.array([index.setdefault(w, len(index)) for w in t.split()], dtype=np.int64) for t in texts]
+    flat, sizes = word_features(list(index), s)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros((len(texts), s.buckets), dtype=np.float32)
+    for row, own in zip(out, lists, strict=True):
+        values, counts = np.unique(own, return_counts=True)
+        buckets = np.concatenate([flat[starts[v] : starts[v + 1]] for v in values]) if len(values) else np.zeros(0, dtype=np.int64)
+        share = np.repeat(counts / np.maximum(1, sizes[values]), sizes[values]) if len(values) else np.zeros(0)
+        row += np.bincount(buckets, weights=share, minlength=s.buckets) * (s.buckets**0.5 / max(1, len(own)))
+    return out
 
 
 def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:  # noqa: B008
     languages = sorted(set(langs))
     members = {f: [x for x in languages if family_of(x) == f] for f in sorted({family_of(x) for x in languages})}
-    families, known = list(members), {}
+    families = list(members)
     pairs = [p for f in families for p in itertools.combinations(members[f], 2)]
-    x = np.stack([doc_vector(t, s, known) for t in texts]) if texts else np.zeros((0, s.buckets), dtype=np.float32)
+    x = doc_vectors(texts, s)
     y, columns = np.array(langs), []
     group = np.array([family_of(a) for a in langs])
     for f in families:
@@ -128,11 +152,9 @@ class Predictor:
         if len(self.index) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((max(len(self.index) - len(self.scores), len(self.scores)), self.scores.shape[1]), dtype=np.float32)])
         for at in range(0, len(fresh), 20_000):
-            lists = [word_features(w.decode(errors="replace"), self.model.s) for w in fresh[at : at + 20_000]]
-            sizes = np.array([len(f) for f in lists])
-            rows = self.model.weights[np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=sizes.sum())]
-            sums = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            self.scores[first + at : first + at + len(lists)] = sums / sizes[:, None] * self.scale
+            flat, sizes = word_features([w.decode(errors="replace") for w in fresh[at : at + 20_000]], self.model.s)
+            sums = np.add.reduceat(self.model.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            self.scores[first + at : first + at + len(sizes)] = sums / sizes[:, None] * self.scale
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         if len(self.index) > self.most:
