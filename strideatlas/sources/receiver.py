@@ -62,30 +62,33 @@ class Page(InputPartition):
 
 
 class ReceiverReader(DataSourceStreamReader):
-    """Offsets are keys: a page holds keys after the last offset up to the next, so a page read twice gives the same rows.
+    """Offsets are keys. The latest offset is the log's last key, so it never falls behind what a restarted query has already
+    committed; a micro-batch's keys are cut into pages, one for each task, and a range read twice gives the same rows.
 
-    The log is a Parquet folder that all executors see; keys sort by time."""
+    The log is a Parquet folder that the driver and all executors see; keys sort by time."""
 
     def __init__(self, options: dict):
-        self.path, self.limit = options["path"], int(options.get("limit", PAGE))
-        self.at = options.get("since", "")
+        self.path, self.limit, self.since = options["path"], int(options.get("limit", PAGE)), options.get("since", "")
 
-    def keys(self) -> list[str]:
+    def keys(self, after: str, upto: str | None = None) -> list[str]:
         import pyarrow.dataset as ds
 
-        table = ds.dataset(self.path).to_table(columns=["key"], filter=ds.field("key") > self.at)
-        return sorted(set(table.column("key").to_pylist()))[: self.limit]
+        wanted = ds.field("key") > after
+        table = ds.dataset(self.path).to_table(columns=["key"], filter=wanted if upto is None else wanted & (ds.field("key") <= upto))
+        return sorted(set(table.column("key").to_pylist()))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"key": self.at}
+        return {"key": self.since}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        page = self.keys()
-        self.at = page[-1] if page else self.at
-        return {"key": self.at}
+        found = self.keys(self.since)
+        return {"key": found[-1] if found else self.since}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(self.path, start["key"], end["key"])]
+        found = self.keys(start["key"], end["key"])
+        edges = [start["key"], *found[self.limit - 1 :: self.limit]]
+        edges += [found[-1]] if found and edges[-1] != found[-1] else []
+        return [Page(self.path, a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
     def read(self, partition: Page) -> Iterator:
         import pyarrow.dataset as ds

@@ -117,10 +117,12 @@ def test_spread_max_and_blur_against_plain_loops():
 
 def test_tiles_are_clear_where_cells_are():
     look = raster.Look()
-    empty = raster.render(15, 9000, 12000, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 128, look)
+    empty = raster.render(17, 9000, 12000, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 128, look)
     assert (empty == empty[0, 0]).all() and empty[0, 0, 3] == round(look.fog_alpha * 255)
-    cx, cy = np.meshgrid(np.arange(9000 * 128, 9001 * 128), np.arange(12000 * 128, 12001 * 128))
-    full = raster.render(15, 9000, 12000, cx.ravel(), cy.ravel(), np.ones(cx.size, int), 128, look)
-    assert full[64, 64, 3] == 0
-    heat = raster.render(15, 9000, 12000, cx.ravel(), cy.ravel(), np.full(cx.size, 8), 128, raster.Look(mode="heat"))
-    assert heat[64, 64, 3] == 255
+    cx, cy = np.meshgrid(np.arange(9000 * 32 - 40, 9001 * 32 + 40), np.arange(12000 * 32 - 40, 12001 * 32 + 40))
+    full = raster.render(17, 9000, 12000, cx.ravel(), cy.ravel(), np.ones(cx.size, int), 128, look)
+    assert (full[..., 3] == 0).all()
+    heat = raster.render(17, 9000, 12000, cx.ravel(), cy.ravel(), np.full(cx.size, 8), 128, raster.Look(mode="heat"))
+    assert (heat[..., 3] == 255).all()
+    half = raster.render(17, 9000, 12000, cx[:, :56].ravel(), cy[:, :56].ravel(), np.ones(cx[:, :56].size, int), 128, look)
+    assert half[64, 8, 3] == 0 and half[64, 120, 3] > 150
