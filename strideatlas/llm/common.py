@@ -29,18 +29,52 @@ def checkpoint_ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder, so a lost executor costs only its own tasks."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage with files in the shared folder, so a lost executor costs only its own tasks. Shuffle files of what
+    is written there serve nothing any more, so Spark is told to remove them at once."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold fewer rows than Spark's default, unless the session says otherwise itself: a worker
+    and its executor hold a few batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def byte_texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def nullable(t: pa.DataType) -> pa.DataType:
+    """The type with all fields of structs nullable, as declared schemas have them."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in t])
+    return pa.list_(nullable(t.value_type)) if pa.types.is_list(t) else t
+
+
+def passed(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    """A column that goes through a kernel as it is."""
+    return column.cast(nullable(column.type)) if pa.types.is_nested(column.type) and not pa.types.is_map(column.type) else column
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over batches; ``fn`` yields any number of batches for one."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -74,7 +108,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all once ``most`` words are known, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 150_000, seed: int = 0):
         import xxhash
 
         super().__init__()

@@ -7,8 +7,8 @@ shingle sets with whole numbers, 100 * intersection >= percent * union.
 
 Rows with equal sets are one class first. Under each key the members are compared with the key's smallest, links become
 components, and only under keys where several components are left the members of different components are compared as well:
-pair by pair, or, against a component of ``hub`` nodes or more, in blocks, where each block pair reports one link for each
-node. So no group is ever expanded into all its pairs, and still no pair that shares a key and could join two components
+pair by pair, or, where ``hub`` nodes or more share their pivots, in blocks, where each text comes once into each block task
+and reports one link for each other component. So no group is ever expanded into all its pairs, and still no pair that shares a key and could join two components
 goes unchecked. Hot keys are salted, hot classes and nodes are left to skewed-join splitting; texts travel compressed.
 
 Defined results: null and empty texts have an empty set, link with nothing and are kept; a text with fewer words than a
@@ -35,8 +35,8 @@ class Settings:
     chunks: int = 16
     per_chunk: int = 6
     errors: int = 1
-    salts: int = 16
-    hub: int = 64
+    salts: int = 8
+    hub: int = 16
     block: int = 512
     seed: int = 20
 
@@ -131,10 +131,11 @@ def chunk_keys(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def shared_members(classes: DataFrame, s: Settings) -> DataFrame:
-    """key, node, n, pivot, pivot_n for keys of two nodes or more; the pivot is the smallest node."""
+    """key, node, n, pivot for keys of two nodes or more; the pivot is the smallest node. Nearly all keys stand alone, so
+    pivots are few, and they are repeated for each salt to spread the members of a hot key."""
     keys = chunk_keys(classes, s)
-    pivots = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    pivots = pivots.select("key", F.col("least.node").alias("pivot"), F.col("least.n").alias("pivot_n"), F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
+    pivots = pivots.select("key", "pivot", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
     salted = keys.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(s.salts)).cast("int"))
     return salted.join(pivots.hint("merge"), ["key", "salt"]).drop("salt")
 
@@ -184,7 +185,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def block_links(tasks: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """tasks (task, side, node) -> (a, b): for each node of side 1 a node of side 0 that it links with, if there is one."""
+    """tasks (task, side, node, label) -> (a, b): for each node of side 1 and each other label of side 0 one node that it
+    links with, if there is one. Each text comes once into each task, whatever the number of its pairs there."""
     kind = tasks.schema["node"].dataType.simpleString()
     rows = tasks.join(packed_texts(docs), "node")
 
@@ -193,25 +195,27 @@ def block_links(tasks: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
         expand, known = zstandard.ZstdDecompressor().decompress, WordHashes(seed=s.seed)
         table = table.sort_by([("side", "ascending"), ("node", "ascending"), ("z", "ascending")])
-        side, node, z = (table.column(c).to_pylist() for c in ("side", "node", "z"))
+        side, node, label, z = (table.column(c).to_pylist() for c in ("side", "node", "label", "z"))
         sets = [shingle_hashes(expand(x).split(), s.words, known) for x in z]
-        hubs = [i for i, x in enumerate(side) if x == 0]
+        n = sum(x == 0 for x in side)
         found: list[tuple] = []
-        if hubs:
-            sizes = np.array([len(sets[i]) for i in hubs])
-            flat, owner = np.concatenate([sets[i] for i in hubs]), np.repeat(np.arange(len(hubs)), sizes)
+        if n:
+            sizes = np.array([len(x) for x in sets[:n]])
+            flat, owner = np.concatenate(sets[:n]), np.repeat(np.arange(n), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for i in range(len(hubs), len(side)):
+            for i in range(n, len(side)):
                 left, right = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
                 span = right - left
                 at = np.repeat(left - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-                both = np.bincount(owner[at], minlength=len(hubs))
-                for k in np.flatnonzero((both > 0) & (100 * both >= s.percent * (sizes + len(sets[i]) - both))):
-                    one, two = shingle_set(expand(z[hubs[k]]), s.words), shingle_set(expand(z[i]), s.words)
-                    if 100 * len(one & two) >= s.percent * len(one | two):
-                        found.append((node[hubs[k]], node[i]))
-                        break
+                both = np.bincount(owner[at], minlength=n)
+                linked = {label[i]}
+                for k in np.flatnonzero((both > 0) & (100 * both >= s.percent * (sizes + len(sets[i]) - both))).tolist():
+                    if label[k] not in linked:
+                        one, two = shingle_set(expand(z[k]), s.words), shingle_set(expand(z[i]), s.words)
+                        if 100 * len(one & two) >= s.percent * len(one | two):
+                            linked.add(label[k])
+                            found.append((node[k], node[i]))
         t = table.schema.field("node").type
         return pa.table({"a": pa.array([x for x, _ in found], t), "b": pa.array([x for _, x in found], t)})
 
@@ -220,28 +224,32 @@ def block_links(tasks: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 def cross_links(members: DataFrame, labels: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Links between nodes of different components that share a key."""
-    named = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    rest = checkpointed(named.join(mixed.hint("merge"), "key", "left_semi"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    hubs = rest.select("key", "label").distinct().join(sizes, "label", "left").where(F.col("size") >= s.hub)
-    hubs = hubs.groupBy("key").agg(F.max(F.struct("size", "label")).alias("h")).select("key", F.col("h.label").alias("hub"), F.col("h.size").alias("hub_size"))
-    placed = checkpointed(rest.join(hubs.hint("merge"), "key", "left"))
-    # pair by pair among what is no hub's
-    outside = placed.where("hub IS NULL OR label <> hub").select("key", "node", "n", "label")
-    one, two = outside, outside.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    sized = labels.join(sizes, "label").select("node", "label", "size")
+    named = members.select("key", "node", "n").join(sized, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
+    mixed = named.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    rest = named.drop("size").join(mixed.select("key", F.col("top.label").alias("top")).hint("merge"), "key")
+    # nodes that share pivots lie together: a node's cluster is the smallest of its keys' pivots
+    clusters = members.groupBy("node").agg(F.min("pivot").alias("cluster"))
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    place = clusters.join(counts, "cluster").select("node", F.when(F.col("members") >= s.hub, F.col("cluster")).alias("c"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(s.block))).cast("int").alias("b"))
+    placed = checkpointed(rest.join(place, "node"))
+    # pair by pair where both lie in small clusters
+    one = placed.where("c IS NULL").select("key", "node", "n", "label")
+    two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     pairs = one.join(two, "key").where((F.col("label") < F.col("label2")) & near_size(F.col("n"), F.col("n2"), s))
-    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    direct = confirmed(pairs, docs, s)
-    # blocks of a hub's nodes against blocks of the nodes that met it
-    satellites = placed.where("label <> hub").select("hub", "hub_size", "node").distinct()
-    many = satellites.groupBy("hub").agg(F.count("*").alias("n_satellites"), F.max("hub_size").alias("hub_size"))
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(s.block)).cast("int")
-    many = many.select("hub", blocks("n_satellites").alias("outer_blocks"), blocks("hub_size").alias("inner_blocks"))
-    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    inner = labels.join(many, labels["label"] == many["hub"]).select("hub", "node", spread("inner_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("o"), F.lit(0).alias("side"))
-    outer = satellites.select("hub", "node").join(many, "hub").select("hub", "node", F.explode(F.sequence(F.lit(0), F.col("inner_blocks") - 1)).alias("i"), spread("outer_blocks").alias("o"), F.lit(1).alias("side"))
-    tasks = inner.unionByName(outer).select(F.xxhash64("hub", "i", "o").alias("task"), "side", "node")
+    direct = confirmed(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), docs, s)
+    # a block of a large cluster against all that met it from outside, and against the cluster's nodes of lesser components
+    blocks = placed.where("c IS NOT NULL").select("key", F.col("c").alias("hub"), F.col("b").alias("i")).distinct()
+    outside = placed.join(blocks, "key").where("c IS NULL OR c <> hub").select("hub", "i", "node", "label").distinct()
+    lesser = placed.where("c IS NOT NULL AND label <> top").select(F.col("c").alias("hub"), "node", "label").distinct()
+    lesser = lesser.join(placed.where("c IS NOT NULL").select(F.col("c").alias("hub"), F.col("b").alias("i")).distinct(), "hub").select("hub", "i", "node", "label")
+    met = checkpointed(outside.unionByName(lesser))
+    outer_blocks = met.groupBy("hub", "i").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("outer"))
+    outer = met.join(outer_blocks, ["hub", "i"]).select("hub", "i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("int").alias("o"), F.lit(1).alias("side"), "node", "label")
+    inside = placed.where("c IS NOT NULL").select(F.col("c").alias("hub"), F.col("b").alias("i"), "node", "label").distinct()
+    inner = inside.join(outer_blocks, ["hub", "i"]).select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("o"), F.lit(0).alias("side"), "node", "label")
+    tasks = inner.unionByName(outer).select(F.xxhash64("hub", "i", "o").alias("task"), "side", "node", "label")
     return direct.unionByName(block_links(tasks, docs, s))
 
 
@@ -255,8 +263,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     # a doc_id with several texts is one node, so it links the classes it stands in
     bridges = full.join(same_id, "doc_id", "left_semi").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     members = checkpointed(shared_members(classes, s))
-    star = members.where((F.col("pivot") != F.col("node")) & near_size(F.col("n"), F.col("pivot_n"), s)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(confirmed(star, docs, s).unionByName(bridges))
+    star = members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct()
+    star = star.join(classes.select(F.col("node").alias("a"), F.col("n").alias("pivot_n")), "a").where(near_size(F.col("n"), F.col("pivot_n"), s)).select("a", "b")
+    links = confirmed(star, docs, s)
+    labels = components(links if same_id.isEmpty() else links.unionByName(bridges))
     more = checkpointed(cross_links(members, labels, docs, s))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
