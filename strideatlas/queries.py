@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import explore, network, scalars, tiling
+from .plans import explore, more, network, scalars, tiling
 
-MODULES = (explore, tiling, network, scalars)
+MODULES = (explore, tiling, network, scalars, more)
 
 
 def queries() -> dict:

@@ -22,7 +22,7 @@ CELLS = "file string, entry string, cx long, cy long, error string"
 
 def kind_column(path: Column, content: Column) -> Column:
     """zip, gpx, json, tile or unknown, by magic bytes, extension and first characters (no parsing)."""
-    head = F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 512), "UTF-8"), "^﻿", ""))
+    head = F.ltrim(F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, 512).cast("string")), "^\ufeff", ""))
     base = F.element_at(F.split(path, r"[/\\]"), -1)
     ext = F.lower(F.regexp_extract(base, r"\.([^.]*)$", 1))
     magic = F.hex(F.substring(content, 1, 4))
