@@ -15,12 +15,32 @@ from pyspark.sql import functions as F
 from strideatlas.llm import common, mixing, neardup, packing, substring, toxicity
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage):
+    """Further columns of the documents travel through a stage in one struct, so their names clash with nothing."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in COLUMNS]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        names = docs.columns
+        own = docs.select(*[c for c in names if c in COLUMNS], F.struct(*extra).alias("extra_columns"))
+        return stage(spark, own, sf_dir).select(*[F.col(f"extra_columns.`{c}`").alias(c) if c in extra else F.col(c) for c in names])
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
+@apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go."""
     judged = toxicity.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
+@apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id, in one row."""
     kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -29,15 +49,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
+@apart
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go; a text that loses none stays as it was."""
-    out = substring.substring_dedup(docs, carry=tuple(docs.columns))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = substring.substring_dedup(docs, carry=tuple(rest))
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")) if "n_chars" in rest else None}
+    return out.select(*[(new[c] if c in new else F.col(f"carried.{c}") if c in rest else F.col(c)).alias(c) for c in docs.columns])
 
 
+@apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, range-sorted by training position."""
     return mixing.mixed(docs).select(*docs.columns)

@@ -6,6 +6,7 @@ here equal the matches of ``[^\\x20\\x09-\\x0D]+`` in SQL.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage, and what they keep counts against the next."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def byte_texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
@@ -77,9 +89,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     small_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from fn(batch)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_remainder, byte_texts, documents, in_slices, mix64
+from .common import bucket_remainder, byte_texts, documents, in_slices, mix64, small_batches
 
 #: Families of closely related languages; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -134,7 +134,7 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
 
 
 class Predictor:
-    def __init__(self, model: Model, most: int = 250_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.scale = np.float32(model.s.buckets**0.5)
         self.clear()
@@ -216,6 +216,7 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with lang_pred and score."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         predictor = Predictor(model)

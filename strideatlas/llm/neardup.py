@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, checkpointed, documents, map_batches, mix64
+from .common import WordHashes, byte_texts, checkpointed, documents, map_batches, mix64, release
 from .components import components
 
 
@@ -180,6 +180,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= s.percent * (len(first) + len(second) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+        last, first = None, set()
+        release()
 
     return joined.select("a", "b", "za", "zb").mapInArrow(run, f"a {kind}, b {kind}")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -149,11 +149,13 @@ def cut_windows(docs: DataFrame, vocabulary: str, s: Settings, groups: int) -> D
     """A row for each full window of a document and one for its rest, with the group it is dealt to. Full windows are done
     here, so they carry ids only if those are kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):  # a few hundred documents at a time, so little is held at once
                 yield tokens_of(batch.slice(first, 256))
+        release()
 
     def tokens_of(batch):
         import xxhash

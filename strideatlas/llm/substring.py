@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, documents, in_slices, mix64
+from .common import byte_texts, checkpointed, documents, in_slices, mix64, passed, small_batches
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,8 @@ def survey(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]:
     """Bytes of all texts, and the sorted hashes of frequent runs. Each slice of a batch reports its own frequent runs
     only, so at most 1 / hot_share rows leave it and at most about twice as many reach the driver."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             texts = byte_texts(batch)
@@ -199,13 +201,13 @@ def repeated_windows(blob: bytes, more: np.ndarray, window: int) -> list[tuple[i
 
 
 def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()) -> DataFrame:  # noqa: B008
-    """doc_id, the carried columns, text, n_words, n_removed, removed (spans of words, [begin, end)) and kept_text (kept
-    words joined by one space) for each row of ``docs``."""
+    """doc_id, text, ``carried`` (a struct of the columns named so, which may have any names), n_words, n_removed, removed
+    (spans of words, [begin, end)) and kept_text (kept words joined by one space) for each row of ``docs``."""
     size, hot = survey(docs, s)
     groups = max(1, -(-size // s.group_bytes))
     buckets = max(1, -(-3 * size // s.group_bytes))  # super-k-mers overlap: about three times the text
-    names = list(dict.fromkeys(["doc_id", "text", *carry]))
-    dealt = docs.select(*names).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    names = ["doc_id", "text", *(["carried"] if carry else [])]
+    dealt = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
     def send(table: pa.Table) -> pa.Table:
         import zstandard
@@ -234,7 +236,7 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"grp": pa.array([g[p] for p in answers], pa.int64()), "bucket": pa.array([bucket] * len(answers), pa.int64()), "runs": pa.array([np.array(x, dtype=np.int32).tobytes() for x in answers.values()], pa.binary())})
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in names)
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = in_order(table)
@@ -262,12 +264,12 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
             spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
             kept.append(b" ".join(w for w, x in zip(text.split(b" "), gone.tolist(), strict=True) if not x))
         more = [pa.array(group.n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.Table.from_arrays([*(table.column(c) for c in names), *more], [*names, "n_words", "n_removed", "removed", "kept_text"])
+        return pa.Table.from_arrays([*(passed(table.column(c)) for c in names), *more], [*names, "n_words", "n_removed", "removed", "kept_text"])
 
-    sent = dealt.select("doc_id", "text", "grp", *[c for c in names if c not in ("doc_id", "text")]).groupBy("grp").applyInArrow(send, "bucket long, grp long, z binary, more binary")
+    sent = dealt.groupBy("grp").applyInArrow(send, "bucket long, grp long, z binary, more binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "grp long, bucket long, runs binary")
     out = f"{kinds}, n_words long, n_removed long, removed array<struct<begin:bigint,end:bigint>>, kept_text string"
-    return dealt.select("doc_id", "text", "grp", *[c for c in names if c not in ("doc_id", "text")]).groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(apply, out)
+    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(apply, out)
 
 
 def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ the common threshold; without both classes among the labels every score is the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_remainder, byte_texts, documents, in_slices, map_batches
+from .common import bucket_remainder, documents, in_slices, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Settings:
     longest: int = 12_000  # characters of a text that is taken to learn from
     shrink: float = 0.25  # weight of all languages' errors in a language's threshold
     seed: int = 7
-    slice_bytes: int = 700_000
+    slice_bytes: int = 400_000
 
 
 EDGES = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -88,7 +89,7 @@ class Net:
 class Scorer:
     """Scores many texts with one net; word vectors are kept up to a bound."""
 
-    def __init__(self, net: Net, most: int = 250_000):
+    def __init__(self, net: Net, most: int = 100_000):
         self.net, self.most = net, most
         self.clear()
 
@@ -230,26 +231,28 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     return net, calibrate(net, [t for t, h in zip(texts, held, strict=True) if h], y[held], [r["lang"] for r, h in zip(rows, held, strict=True) if h], weight)
 
 
-def score(docs: DataFrame, net: Net, keep_text: bool = False) -> DataFrame:
-    """docs with ``score``; reads nothing but the text. The net's size is fixed by its settings (some 2 MB)."""
-    keep = [c for c in docs.columns if keep_text or c != "text"]
+def score(docs: DataFrame, net: Net) -> DataFrame:
+    """docs with ``toxic_score``. Only texts go to Python and only scores come back; other columns, whatever their names and
+    types, stay in the JVM. The net's size is fixed by its settings (some 2 MB)."""
+    small_batches(docs.sparkSession)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = None if net.constant is not None else Scorer(net)
-        for batch in batches:
-            texts = byte_texts(batch)
+        for column in columns:
+            texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
             found = [scorer.net.probability(scorer.logits(texts[a:b])) for a, b in in_slices(texts, net.s.slice_bytes)] if scorer else [np.full(len(texts), net.constant)]
-            values = np.concatenate([*found, np.zeros(0)]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(values)], [*keep, "toxic_score"])
+            yield pa.array(np.concatenate([*found, np.zeros(0)]).astype(np.float64))
+        del scorer
+        release()
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{kinds}, toxic_score double")
+    return docs.withColumn("toxic_score", run("text"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_text: bool = True) -> DataFrame:  # noqa: B008
+def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` with toxic_score, the language's toxic_threshold and ``rejected``."""
     net, thresholds = learn(docs, labels, s)
-    scored = score(docs, net, keep_text)
+    scored = score(docs, net)
     pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
     own = F.lit(thresholds[None])
     if pairs and "lang" in docs.columns:
@@ -259,5 +262,5 @@ def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_te
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    scored = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False).withColumnsRenamed({"toxic_score": "score", "toxic_threshold": "threshold"})
+    scored = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnsRenamed({"toxic_score": "score", "toxic_threshold": "threshold"})
     return scored.select("doc_id", F.coalesce(bucket_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
