@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    cell = lambda x: None if x is None or x != x else round(x, 9) if isinstance(x, float) else str(x)
+    cell = lambda x: None if pd.isna(x) else round(x, 9) if isinstance(x, float) else str(x)
     return sorted(str([cell(x) for x in row]) for row in df.itertuples(index=False, name=None))
 
 
