@@ -16,6 +16,7 @@ no sequence. Only the digest of ids travels unless ``keep_ids``.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -38,6 +39,9 @@ class Settings:
 #: Fixed value: how a byte-level vocabulary pre-splits text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters of a run of blanks from which on the tokenizer itself encodes a text; the pattern fails near a million.
+LONG_RUN = 100_000
+
 
 @cache
 def encoder(vocabulary: str):
@@ -54,8 +58,33 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def tokenizer(vocabulary: str):
+    """The tokenizer itself; loaded only where a text needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+@cache
+def added_tokens(vocabulary: str) -> re.Pattern | None:
+    with open(vocabulary, encoding="utf-8") as f:
+        added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens", [])]
+    return re.compile("|".join(added)) if added else None
+
+
+def needs_tokenizer(text: str, vocabulary: str) -> bool:
+    """Texts that the faster encoder reads otherwise or fails on: those with an added token or a very long run of blanks."""
+    added = added_tokens(vocabulary)
+    if added is not None and added.search(text):
+        return True
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
+
 def token_ids(text: str, vocabulary: str, end_id: int = 0) -> np.ndarray:
-    return np.append(np.asarray(encoder(vocabulary).encode_ordinary(text), dtype="<u4"), np.array([end_id], dtype="<u4"))
+    exact = needs_tokenizer(text, vocabulary)
+    ids = tokenizer(vocabulary).encode(text, add_special_tokens=False).ids if exact else encoder(vocabulary).encode_ordinary(text)
+    return np.append(np.asarray(ids, dtype="<u4"), np.array([end_id], dtype="<u4"))
 
 
 class CapacityTree:

@@ -207,6 +207,14 @@ def test_tokens_equal_the_tokenizer():
         assert packing.token_ids(text, VOCABULARY)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_and_long_blanks_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x" + " " * 1_000_000 + "y", "x" + "\n" * 1_000_000, "a" + " " * packing.LONG_RUN, " " * 5000 + "z"]:
+        assert packing.token_ids(text, VOCABULARY)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_equals_a_plain_search():
     r = random.Random(9)
     for _ in range(30):
