@@ -2,8 +2,8 @@
 
 Texts become ids by the byte-level BPE vocabulary at ``vocabulary`` (a path, read where the tokens are made), each document
 ends in ``end_id``. Overlong documents are first cut into full windows, which are sequences of their own. Rests are packed
-by decreasing length; a segment tree indexed by remaining capacity finds the tightest open window. Rests are dealt by hash
-into groups of about ``group_rows`` documents, each packed by one kernel call, so memory is bounded and groups spread over
+by decreasing length; a segment tree indexed by remaining capacity finds the tightest open window. Rests are dealt by a hash
+of ids, doc_id and block of repeated rows into groups of about ``group_rows`` documents, each packed by one kernel call, so memory is bounded and groups spread over
 the cluster; sequence ids are (group << 32) + number in the group.
 
 Windows that stay open at the end of a group are dissolved as long as that saves padding: their tokens, cut freely, fill
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, small_batches
+from .common import MASK, documents, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -175,8 +175,8 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 
 
 def cut_windows(docs: DataFrame, vocabulary: str, s: Settings, groups: int) -> DataFrame:
-    """A row for each full window of a document and one for its rest, with the group it is dealt to. Full windows are done
-    here, so they carry ids only if those are kept."""
+    """A row for each full window of a document and one for its rest, with the group it is dealt to; ``spread``
+    (a long) tells rows of equal ids apart. Full windows are done here, so they carry ids only if those are kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
@@ -191,9 +191,9 @@ def cut_windows(docs: DataFrame, vocabulary: str, s: Settings, groups: int) -> D
         import zlib
 
         out: list[list] = [[] for _ in range(7)]
-        for at, text in enumerate(batch.column("text").to_pylist()):
+        for at, (text, spread) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spread").to_pylist(), strict=True)):
             ids = token_ids(text or "", vocabulary, s.end_id)
-            group = xxhash.xxh3_64_intdigest(ids.tobytes(), len(ids)) % groups
+            group = xxhash.xxh3_64_intdigest(ids.tobytes(), spread & MASK) % groups
             for start in range(0, len(ids), s.window):
                 part = ids[start : start + s.window].tobytes()
                 full = len(part) == 4 * s.window
@@ -204,15 +204,37 @@ def cut_windows(docs: DataFrame, vocabulary: str, s: Settings, groups: int) -> D
     def batch_of(batch, out):
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], (*[pa.int64()] * 5, pa.binary()), strict=True))], ["doc_id", "grp", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, grp long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text", "spread").mapInArrow(run, f"doc_id {kind}, grp long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+
+
+def spread_rows(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """doc_id, text and ``spread``, by which copies of a text are dealt to many groups, and the number of rows.
+
+    ``spread`` is a hash of doc_id. Ids of more than ``block`` rows also take a block number: their equal rows are counted,
+    and each count is laid out anew in blocks of at most ``block``, so no task numbers or holds all rows of an id."""
+    docs = docs.select("doc_id", "text")
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    plain = lambda df: df.withColumn("spread", F.xxhash64("doc_id"))
+    if most <= block:
+        return plain(docs), total
+    many = F.broadcast(counts.where(F.col("n") > block).select(F.col("doc_id").alias("many_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("many_id"))
+    copies = docs.join(many, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    blocks = copies.select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("block"))
+    dealt = blocks.repartition("doc_id", "text", "block").withColumn("spread", F.xxhash64("doc_id", "block"))
+    rows = dealt.select("doc_id", "text", "spread", F.explode(F.expr(f"sequence(1L, least({block}, n - block * {block}))")).alias("nth"))
+    return plain(docs.join(many, same, "left_anti")).unionByName(rows.drop("nth")), total
 
 
 def pack(docs: DataFrame, vocabulary: str, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if kept).
 
-    The id column is doc_id. Groups are dealt by a hash of the ids, so a group is the same in every run."""
-    groups = max(1, -(-docs.count() // s.group_rows))
-    rows = cut_windows(docs, vocabulary, s, groups)
+    The id column is doc_id. Groups are dealt by a hash of ids, doc_id and, for repeated rows, the block of the row, so a
+    group is the same in every run and copies of one text lie in many groups."""
+    dealt, total = spread_rows(docs, max(1, s.group_rows // 4))
+    groups = max(1, -(-total // s.group_rows))
+    rows = cut_windows(dealt, vocabulary, s, groups)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", ids binary" if s.keep_ids else ""
 

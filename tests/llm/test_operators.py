@@ -254,6 +254,24 @@ def test_packing_is_an_exact_round_trip(spark, odd, empty):
     assert packing.pack(empty, VOCABULARY).count() == 0 and packing.pack(odd, VOCABULARY).select("doc_id").distinct().count() == len(ODD)
 
 
+def test_packing_deals_copies_to_many_groups(spark):
+    rows = [(i, "one text in many copies", "en", "s", 0) for i in range(200)] + [(7, "the same row", "en", "s", 0)] * 200 + [(None, None, "en", "s", 0)] * 200 + [(None, "no id", "en", "s", 0)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    s = packing.Settings(window=256, group_rows=32)
+    got = packing.pack(docs, VOCABULARY, s).collect()
+    number = collections.Counter((x["doc_id"], x["doc_tokens"]) for x in got if x["start"] == 0)
+    want = collections.Counter((i, len(packing.token_ids(t or "", VOCABULARY))) for i, t, *_ in rows)
+    assert number == want
+    used = collections.Counter()
+    for x in got:
+        used[x["doc_id"], x["doc_tokens"]] += x["length"]
+    assert used == {k: n * k[1] for k, n in want.items()}
+    groups = collections.Counter(x["sequence_id"] >> 32 for x in got if x["start"] == 0)
+    assert len(groups) > 10 and max(groups.values()) <= 4 * 32
+    again = packing.pack(docs.repartition(7, "text"), VOCABULARY, s).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_link_graph_spreads_trust_and_distrust(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
     rows = [(1, "http://A.bad.net/x", link("victim.com")), (2, "https://farm.io/", link("a.bad.net")), (3, "https://good.example.net/en/1", link("friend.io")), (4, "https://friend.io/?q", None), (5, "https://mixed.io/", link("q1.io", "q2.io", "q3.io")),
