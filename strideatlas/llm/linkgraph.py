@@ -6,7 +6,8 @@ both), and a host is blocked when distrust less trust reaches ``threshold`` of w
 
 Seeds are the shares of a host's pages that rules allow or block. Links are distinct pairs of different hosts named in
 ``href``/``src``; relative links stay on their host and carry nothing. Scores are whole numbers (fixed point) and every step
-rounds down, so sums do not depend on their order. Edges are pre-aggregated where they are found; edges and scores are
+rounds down, so sums do not depend on their order. Rounds go on until no score grows by more than a thousandth of the limit
+in four of them. Edges are pre-aggregated where they are found; edges and scores are
 checkpointed in the shared folder. Joins on hosts are equi-joins that adaptive execution may split when a host is hot.
 
 Defined results: null url, or one without ``://``, has empty host and path, no rule and is allowed; null html has no links;
@@ -30,12 +31,13 @@ LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\s]+)"
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 8
+    rounds: int = 8  # of the SQL; the operator goes on until the scores have settled
     damping: int = 85  # percent of a score that links pass on
     unit: int = 1_000_000_000_000  # fixed point of a whole seed
     threshold: int = 50  # percent of the start of a wholly blocked host
     rules: tuple = RULES
     checkpoint_every: int = 4
+    settled: int = 1000  # scores have settled when none grew by more than this part of the limit between checkpoints
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -63,6 +65,10 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
+def limit_of(s: Settings) -> int:
+    return s.unit * (100 - s.damping) // 100 * s.threshold // 100
+
+
 def host_scores(pages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """host, trust, distrust for every host with a seed or reached by one; pages have host, path, fit and html."""
     stay = 100 - s.damping
@@ -79,11 +85,15 @@ def host_scores(pages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noq
     start = seeds.select("kind", "host", F.expr(f"seed * {stay} div 100").alias("score"))
     scores = start
     if not edges.isEmpty():
-        for k in range(s.rounds):
-            moved = edges.join(scores, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"(score * {s.damping} div 100) div degree").alias("score"))
-            scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if (k + 1) % s.checkpoint_every == 0:
-                scores = checkpointed(scores)
+        growth = None
+        while growth is None or growth > limit_of(s) // s.settled:  # scores only grow, are bounded and whole, so this ends
+            before = scores.withColumnRenamed("score", "before")
+            for _ in range(s.checkpoint_every):
+                moved = edges.join(scores, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"(score * {s.damping} div 100) div degree").alias("score"))
+                scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            scores = checkpointed(scores)
+            grown = F.col("score") - F.coalesce("before", F.lit(0))
+            growth = scores.join(before, ["kind", "host"], "left").agg(F.coalesce(F.max(grown), F.lit(0))).first()[0]
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).alias(kind)
     return scores.groupBy("host").agg(pick("trust"), pick("distrust"))
 
@@ -92,7 +102,7 @@ def url_filter(pages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url, html), and the host's scores."""
     judged = parts(pages.select("page_id", "url", "html")).withColumn("fit", fitting(s.rules))
     scores = host_scores(judged, s)
-    limit = s.unit * (100 - s.damping) // 100 * s.threshold // 100
+    limit = limit_of(s)
     out = judged.select("page_id", "host", "path", "fit").join(scores, "host", "left")
     own = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0)) >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))

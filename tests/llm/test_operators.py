@@ -286,6 +286,19 @@ def test_link_graph_spreads_trust_and_distrust(spark):
     assert linkgraph.url_filter(pages.where("false")).count() == 0
 
 
+def test_link_graph_goes_on_until_scores_settle(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
+    farm = [f"u{i}.io" for i in range(1, 6)]
+    rows = [(0, "https://b.net/", link(*farm))] + [(i, f"https://{h}/", link("b.net")) for i, h in enumerate(farm, 1)]
+    s = linkgraph.Settings()
+    got = {x["page_id"]: x for x in linkgraph.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), s).collect()}
+    b = 0.15 / (1 - 0.85**2)  # by hand: b = 0.15 + 0.85 * 5u, u = 0.85 * b / 5
+    limit = 0.075
+    assert abs(got[0]["distrust"] / s.unit - b) < 0.01 * limit
+    for i in range(1, 6):
+        assert got[i]["verdict"] == "block" and abs(got[i]["distrust"] / s.unit - 0.17 * b) < 0.01 * limit
+
+
 def brute_removed(texts, n):
     words = [(t or "").encode().split() for t in texts]
     times = collections.Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
