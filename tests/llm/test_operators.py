@@ -198,21 +198,23 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert langid.language_id(empty).count() == 0
 
 
-def test_tokens_equal_the_tokenizer():
+def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
     r = random.Random(8)
-    for text in ["", "a  b \n\n c", "don't  stop!?", "漢字 émoji 🙂 x", prose(r, 200), " \t lead", "x" * 3000, "1234 5,6"]:
-        assert packing.token_ids(text, VOCABULARY)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
-
-
-def test_added_tokens_and_long_blanks_equal_the_tokenizer():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(VOCABULARY)
-    for text in ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x" + " " * 1_000_000 + "y", "x" + "\n" * 1_000_000, "a" + " " * packing.LONG_RUN, " " * 5000 + "z"]:
-        assert packing.token_ids(text, VOCABULARY)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = ["", "a  b \n\n c", "don't  stop!?", "漢字 émoji 🙂 x", prose(r, 200), " \t lead", "x" * 3000, "1234 5,6", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|>y"]
+    texts += ["x" + " " * 1_000_000 + "y", "x" + "\n" * 1_000_000, "a" + " " * 100_000, " " * 5000 + "z"]
+    marks = ["a", "Bc", "é", "漢", "7", ".", "'s", " ", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "\x1c", "\u180e", "\u2003", "\u200b", "\u3000", "\ufeff", "<|endoftext|>", "🙂", "\u0301", "\x00"]
+    texts += ["".join(r.choice(marks) for _ in range(r.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(r.choice([x for x in marks if packing.SURE.fullmatch(x)]) for _ in range(r.randint(1, 40))) for _ in range(2000)]
+    texts += ["".join(r.choice(marks) for _ in range(5000)), "".join(map(chr, range(32, 0x530))), " ".join(map(chr, range(32, 0x530))), "x" * 200_000]
+    own = packing.Ids(VOCABULARY, step=1000)
+    for text in texts:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.of(text), dtype="<u4").tolist() == want
+        assert np.frombuffer(own.by_tokenizer(text), dtype="<u4").tolist() == want
+        assert packing.token_ids(text, VOCABULARY).tolist() == [*want, 0]
 
 
 def test_best_fit_equals_a_plain_search():
