@@ -24,10 +24,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """The session's ``spark.checkpoint.dir`` holds; only where it is unset (tests) is a temporary folder set."""
+    """The session's ``spark.checkpoint.dir`` holds. Where it is unset, a local session (tests) gets a temporary folder; a
+    cluster is refused, as its executors would not share one."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carrying(df: DataFrame, own: tuple, made: tuple, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` over the columns ``own`` of df; all further columns travel in one struct, so their names clash with nothing.
+    Back come own, further and ``made`` columns; a caller's column that is named like a made one comes back as name_in."""
+    extra = [c for c in df.columns if c not in own]
+    packed = df.select(*[F.col(c) for c in df.columns if c in own], *([F.struct(*[F.col(quoted(c)).alias(f"f{i}") for i, c in enumerate(extra)]).alias("carried_columns")] if extra else []))
+    taken = {*df.columns, *made}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_in"
+        taken.add(name)
+        return name
+
+    names = {c: free(c) if c in made else c for c in extra}
+    return stage(packed).select(*[F.col(f"carried_columns.f{extra.index(c)}").alias(names[c]) if c in extra else F.col(c) for c in df.columns], *made)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -121,17 +147,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; forgets all once ``most`` words are known, so memory stays bounded."""
+    """word -> 64-bit hash; forgets all once ``most`` words are known. Long words are hashed anew each time, so memory stays
+    bounded."""
 
-    def __init__(self, most: int = 150_000, seed: int = 0):
+    def __init__(self, most: int = 150_000, seed: int = 0, longest: int = 64):
         import xxhash
 
         super().__init__()
-        self.most, self.digest, self.seed = most, xxhash.xxh3_64_intdigest, seed
+        self.most, self.digest, self.seed, self.longest = most, xxhash.xxh3_64_intdigest, seed, longest
 
     def __missing__(self, word: bytes) -> int:
         h = self.digest(word, self.seed)
-        self[word] = h
+        if len(word) <= self.longest:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

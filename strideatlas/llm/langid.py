@@ -12,7 +12,6 @@ second step; with one learned language all text with letters gets it; with none
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,11 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "bg", "sr"),
 }
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of category L; digits in circles, fractions and numerals of one character are none."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -134,13 +137,14 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
 
 
 class Predictor:
-    def __init__(self, model: Model, most: int = 100_000):
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int = 100_000, most_bytes: int = 8_000_000):
+        self.model, self.most, self.most_bytes = model, most, most_bytes
         self.scale = np.float32(model.s.buckets**0.5)
         self.clear()
 
     def clear(self):
         self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.scores = np.zeros((1024, self.model.weights.shape[1]), dtype=np.float32)
 
     def learn(self, words: set[bytes]) -> None:
@@ -149,15 +153,18 @@ class Predictor:
             return
         first = len(self.index)
         self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        self.bytes += sum(map(len, fresh))
         if len(self.index) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((max(len(self.index) - len(self.scores), len(self.scores)), self.scores.shape[1]), dtype=np.float32)])
-        for at in range(0, len(fresh), 20_000):
-            flat, sizes = word_features([w.decode(errors="replace") for w in fresh[at : at + 20_000]], self.model.s)
+        at = 0
+        for a, b in in_slices(fresh, 250_000):
+            flat, sizes = word_features([w.decode(errors="replace") for w in fresh[a:b]], self.model.s)
             sums = np.add.reduceat(self.model.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             self.scores[first + at : first + at + len(sizes)] = sums / sizes[:, None] * self.scale
+            at += len(sizes)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.bytes > self.most_bytes:
             self.clear()
         lists = [t.split() or [b""] for t in texts]
         self.learn({w for words in lists for w in words})
@@ -192,16 +199,16 @@ class Predictor:
             if len(members) > 1:
                 scores[own] *= 1 / (1 + np.exp(-np.clip(2 * strength[np.arange(len(own)), best] / (len(members) - 1), -30, 30)))
         for i, t in enumerate(texts):
-            if not LETTER.search(t[:400].decode(errors="ignore")) and not LETTER.search(t.decode(errors="replace")):
+            if not has_letter(t[:400].decode(errors="ignore")) and not has_letter(t.decode(errors="replace")):
                 langs[i], scores[i] = "und", 0.0
         return list(langs), scores
 
 
 def learn(docs: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
-    """Learns from rows with a lang and text whose crc32(doc_id) mod 4 is not 2: a bounded sample for each language."""
+    """Learns from rows with a doc_id, lang and text whose crc32(doc_id) mod 4 is not 2: a bounded sample for each language."""
     from pyspark.sql import Window
 
-    fit_rows = docs.where(F.col("lang").isNotNull() & (F.coalesce(bucket_remainder("doc_id", 4), F.lit(0)) != 2))
+    fit_rows = docs.where(F.col("lang").isNotNull() & (bucket_remainder("doc_id", 4) != 2))
     order = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 40))
     counts = {r["lang"]: r["n"] for r in fit_rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:

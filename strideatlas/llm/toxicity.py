@@ -1,17 +1,26 @@
 """Operator 2, toxicity: a convolutional text classifier in numpy.
 
 Every word is the mean of a few hashed embeddings (the word and its prefixes), filters of widths 1, 2 and 3 run over the
-word sequence, each filter's maximum over the document goes to a logistic output. Training takes a bounded sample of
-labelled rows on the driver (``Settings.most_toxic``, ``most_clean``, ``longest``); scoring covers every whole text in
-Arrow batches with no shuffle. Scores never see labels, lang, source or doc_id. Thresholds are calibrated for each language
-on the rows of the sample that were left out of the fit, and only the verdict ``rejected`` uses them.
+word sequence, each filter's maximum over the document goes to a logistic output. The network learns on the driver from a
+bounded sample of labelled rows, taken in the order of a hash of doc_id (``most_toxic``, ``most_clean`` rows and ``most_bytes``
+of texts). Scoring covers every whole text in Arrow batches with no shuffle. Scores never see labels, lang, source or doc_id.
 
-Defined results: null and empty texts are scored as a text without words; a language unseen in calibration (null too) takes
-the common threshold; without both classes among the labels every score is the share of toxic labels (0 if none).
+Scores are calibrated over all labelled rows that were not fitted: their logits are counted in Spark by language, label and
+bin, and the scale of the logistic output and a threshold for each language follow from the counts. Only the verdict
+``rejected`` uses thresholds. Rows whose crc32(doc_id) mod 5 is 0 take part in nothing.
+
+Word vectors and filters are whole multiples of powers of two, small enough that every response is exact in single precision,
+and the output sums in one order: a text's score is the same in any batch, on any machine and in a plain loop.
+
+Defined results: null and empty texts are scored as a text without words; a language without both labels in calibration (null
+too) takes the common threshold; without both classes among the labels every score is the share of toxic labels (0 if none);
+of rows that share a doc_id one, the smallest, is learned from; repeated rows get the same score each; a further column named
+like an output comes back as name_in.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_remainder, documents, in_slices, release, small_batches
+from .common import bucket_remainder, carrying, checkpointed, documents, in_slices, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -35,12 +44,18 @@ class Settings:
     batch: int = 32
     most_toxic: int = 2000
     most_clean: int = 4000
-    longest: int = 12_000  # characters of a text that is taken to learn from
+    most_bytes: int = 20_000_000  # of all texts that are learned from
+    held: int = 4  # one in so many labelled rows is never learned from
+    bins: int = 16  # of a logit, for each unit
     shrink: float = 0.25  # weight of all languages' errors in a language's threshold
     seed: int = 7
     slice_bytes: int = 400_000
 
 
+#: Units of word vectors and filters, and their largest size: sums of three words' products stay under 2^24 units.
+VECTOR, MOST_VECTOR, FILTER, MOST_FILTER = 64, 8, 128, 4
+LOGIT = 40  # logits are counted between minus and plus this
+
 EDGES = bytes(i for i in range(128) if not chr(i).isalnum())
 
 
@@ -82,19 +97,32 @@ class Net:
             parts.append(r)
         return np.concatenate(parts, axis=1)
 
-    def probability(self, logit: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
+    def vectors_of(self, ids: np.ndarray) -> np.ndarray:
+        """Vectors of words by their buckets, as whole multiples of 1 / VECTOR."""
+        total = self.table[ids[:, 0]]
+        for j in range(1, ids.shape[1]):
+            total = total + self.table[ids[:, j]]
+        return np.clip(np.rint(total * np.float32(VECTOR / ids.shape[1])) / np.float32(VECTOR), -MOST_VECTOR, MOST_VECTOR)
+
+    def settle(self) -> None:
+        """Filters become whole multiples of 1 / FILTER, the output double precision."""
+        self.filters = {w: np.clip(np.rint(f * np.float32(FILTER)) / np.float32(FILTER), -MOST_FILTER, MOST_FILTER).astype(np.float32) for w, f in self.filters.items()}
+        self.bias, self.out, self.out_bias = self.bias.astype(np.float64), self.out.astype(np.float64), float(self.out_bias)
+
+    def probability(self, logit: float) -> float:
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.scale * logit + self.shift))))
 
 
 class Scorer:
-    """Scores many texts with one net; word vectors are kept up to a bound."""
+    """Scores many texts with one net; word vectors are kept up to a bound on words and their bytes."""
 
-    def __init__(self, net: Net, most: int = 100_000):
-        self.net, self.most = net, most
+    def __init__(self, net: Net, most: int = 100_000, most_bytes: int = 8_000_000):
+        self.net, self.most, self.most_bytes = net, most, most_bytes
         self.clear()
 
     def clear(self):
         self.index: dict[bytes, int] = {b"": 0}
+        self.bytes = 0
         self.vectors = np.zeros((1024, self.net.s.size), dtype=np.float32)
 
     def learn(self, words: set[bytes]) -> None:
@@ -103,29 +131,45 @@ class Scorer:
             return
         first = len(self.index)
         self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        self.bytes += sum(map(len, fresh))
         if len(self.index) > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros((max(len(self.index) - len(self.vectors), len(self.vectors)), self.net.s.size), dtype=np.float32)])
-        ids = np.array([features(w, self.net.s) for w in fresh])
-        self.vectors[first : first + len(fresh)] = self.net.table[ids].mean(axis=1)
+        self.vectors[first : first + len(fresh)] = self.net.vectors_of(np.array([features(w, self.net.s) for w in fresh]))
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.most:
+    def tops(self, texts: list[bytes]) -> np.ndarray:
+        """Each filter's maximum over each text."""
+        if len(self.index) > self.most or self.bytes > self.most_bytes:
             self.clear()
         gap = [b""] * (max(self.net.s.widths) - 1)
-        lists = [t.split() or [b""] for t in texts]
         flat: list[bytes] = []
         ends = []
-        for words in lists:
-            flat += words
+        for t in texts:
+            flat += t.split() or [b""]
             ends.append(len(flat))
             flat += gap
         self.learn(set(flat))
         ids = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
         starts = np.array([0, *(e + len(gap) for e in ends[:-1])])
-        r = self.net.respond(self.vectors[ids])
-        r = np.concatenate([r, np.full((1, r.shape[1]), -np.inf, dtype=r.dtype)])
-        top = np.maximum.reduceat(r, np.stack([starts, np.array(ends)], axis=1).ravel())[::2]
-        return np.maximum(top + self.net.bias, 0) @ self.net.out + self.net.out_bias
+        # texts stand apart by gaps; positions in a gap belong to no text
+        step, tops = 1 << 16, []
+        if len(ids) <= step:
+            r = self.net.respond(self.vectors[ids])
+            r = np.concatenate([r, np.full((1, r.shape[1]), -np.inf, dtype=r.dtype)])
+            return np.maximum.reduceat(r, np.stack([starts, np.array(ends)], axis=1).ravel())[::2]
+        for a, b in zip(starts.tolist(), ends, strict=True):  # a very long text goes a stretch at a time
+            best = None
+            for at in range(a, b, step):
+                r = self.net.respond(self.vectors[ids[at : min(b, at + step) + len(gap)]]).max(axis=0)
+                best = r if best is None else np.maximum(best, r)
+            tops.append(best)
+        return np.stack(tops)
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        h = np.maximum(self.tops(texts).astype(np.float64) + self.net.bias, 0)
+        total = np.full(len(h), self.net.out_bias)
+        for j, weight in enumerate(self.net.out.tolist()):  # one filter after the other, so the order of the sum is fixed
+            total += h[:, j] * weight
+        return total
 
 
 def fit(texts: list[bytes], labels: np.ndarray, s: Settings) -> Net:
@@ -179,85 +223,115 @@ def fit(texts: list[bytes], labels: np.ndarray, s: Settings) -> Net:
             np.add.at(g, where, np.repeat(steps_, feats.shape[1], axis=0))
             squares["table"][touched] += g * g
             net.table[touched] -= rate * g / np.sqrt(squares["table"][touched])
+    net.settle()
     return net
 
 
-def calibrate(net: Net, texts: list[bytes], labels: np.ndarray, langs: list, weight: np.ndarray) -> dict:
-    """Fits the scale that turns logits into probabilities at the labels' own rate, then a threshold for each language: the one
-    with the fewest errors among its held-back rows, of which all languages' errors count ``shrink``; ties go to the one
-    nearest 0.5. Key None holds for every other language."""
-    if net.constant is not None or not 0 < labels.mean() < 1:
-        return {None: 0.5}
-    scorer = Scorer(net)
-    z = np.concatenate([scorer.logits(texts[a:b]) for a, b in in_slices(texts, net.s.slice_bytes)]).astype(float)
-    scale, shift = 1.0, 0.0
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -30, 30)))
-        d = (p - labels) * weight / weight.sum()
-        scale = min(5.0, max(0.05, scale - 2 * (d * z).sum() / max(1.0, z.std())))
-        shift -= 4 * d.sum()
-    net.scale, net.shift = scale, shift
-    p, found = net.probability(z), {}
+def logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the logistic curve that fits best, by Newton's method with a little ridge towards (1, 0)."""
+    at, ridge = np.array([1.0, 0.0]), 1e-3 * weight.sum()
+    x = np.stack([z, np.ones(len(z))])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        slope = x @ (weight * (p - y)) + ridge * (at - [1.0, 0.0])
+        bend = (x * (weight * p * (1 - p))) @ x.T + ridge * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        at = at - step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(min(5.0, max(0.05, at[0]))), float(at[1])
+
+
+def thresholds_of(net: Net, counts: list[tuple]) -> dict:
+    """counts: (lang, label, bin, rows). A threshold for each language: the one with the fewest errors among its rows, of which
+    all languages' errors count ``shrink``; ties go to the one nearest 0.5. Key None holds for every other language."""
+    p = np.array([net.probability((c[2] + 0.5) / net.s.bins) for c in counts])
+    y, weight = np.array([c[1] for c in counts]), np.array([c[3] for c in counts], dtype=float)
     grid = np.arange(0.30, 0.81, 0.05)
-    wrong = np.stack([np.where(labels == 1, p < t, p >= t) * weight for t in grid], axis=1)
-    common = wrong.sum(axis=0)
-    for lang in [None, *{x for x in langs if x is not None}]:
-        own = np.array([lang is None or x == lang for x in langs])
-        cost = wrong[own].sum(axis=0) + net.s.shrink * common
-        found[lang] = round(float(min(zip(cost, abs(grid - 0.5), grid, strict=True))[2]), 2)
+    wrong = np.stack([np.where(y == 1, p < t, p >= t) * weight for t in grid], axis=1)
+    common, found = wrong.sum(axis=0), {}
+    for lang in [None, *sorted({c[0] for c in counts if c[0] is not None})]:
+        own = np.array([lang is None or c[0] == lang for c in counts])
+        if len(set(y[own].tolist())) == 2:
+            cost = wrong[own].sum(axis=0) + net.s.shrink * common
+            found[lang] = round(float(min(zip(cost, abs(grid - 0.5), grid, strict=True))[2]), 2)
     return found
 
 
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[Net, dict]:  # noqa: B008
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0. The sample is bounded and the same in each run."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(bucket_remainder("doc_id", 5) != 0)
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    """The network and the thresholds by language. The driver gets the bounded sample and counts by language, label and bin."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(bucket_remainder("doc_id", 5) != 0)
     order = F.xxhash64("doc_id", F.lit(s.seed))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= s.longest
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    chosen = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, s.most_toxic), (0, s.most_clean))]
-    ids = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text", lang).where(short).join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").collect()
-    texts = [(r["text"] or "").encode() for r in rows]
-    y = np.array([r["toxic"] for r in rows], dtype=int)
-    held = np.arange(len(rows)) % 4 == 0
-    if len(rows) < 40 or not 0 < y[~held].mean() < 1:
-        held = np.zeros(len(rows), dtype=bool)
-    net = fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held], s)
-    if not held.any():
+    rows = docs.select("doc_id", "text", lang)
+    able = known.where(F.pmod(order, F.lit(s.held)) != 0)
+    chosen = [able.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, s.most_toxic), (0, s.most_clean))]
+    sample = chosen[0].unionByName(chosen[1])
+    found = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("row"), F.min("toxic").alias("toxic"))
+    found = checkpointed(found.select("doc_id", "toxic", order.alias("o"), F.col("row.text").alias("text")))
+    left, ids = s.most_bytes, []
+    for r in sorted(found.select("doc_id", "o", F.octet_length("text").alias("n")).collect(), key=lambda r: (r["o"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            ids.append(r["doc_id"])
+    kind = found.schema["doc_id"].dataType.simpleString()
+    fitted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
+    taken = sorted(found.join(F.broadcast(fitted), "doc_id").collect(), key=lambda r: (r["o"], r["doc_id"]))
+    net = fit([r["text"].encode() for r in taken], np.array([r["toxic"] for r in taken], dtype=int), s)
+    if net.constant is not None:
+        return net, {None: 0.5}
+    rest = known.join(F.broadcast(fitted), "doc_id", "left_anti")
+    scored = with_logit(rows.join(rest, "doc_id"), net)
+    bin_ = F.floor(F.greatest(F.lit(-LOGIT), F.least(F.lit(LOGIT), F.col("toxic_logit"))) * s.bins).cast("int").alias("bin")
+    counts = [tuple(r) for r in scored.groupBy("lang", "toxic", bin_).agg(F.count("*").alias("n")).collect()]
+    y, n = np.array([c[1] for c in counts]), np.array([c[3] for c in counts], dtype=float)
+    if len(set(y.tolist())) < 2:
         return net, {None: 0.5}
-    rate = {v: counts.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1)}
-    weight = np.array([rate[v] for v in y])[held]
-    return net, calibrate(net, [t for t, h in zip(texts, held, strict=True) if h], y[held], [r["lang"] for r, h in zip(rows, held, strict=True) if h], weight)
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = {v: total[v] / n[y == v].sum() for v in (0, 1)}  # fitted rows are missing, more of one label than of the other
+    counts = [(*c[:3], c[3] * weight[c[1]]) for c in counts]
+    net.scale, net.shift = logistic(np.array([(c[2] + 0.5) / s.bins for c in counts]), y.astype(float), np.array([c[3] for c in counts]))
+    return net, {None: 0.5} | thresholds_of(net, counts)
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
-    """docs with ``toxic_score``. Only texts go to Python and only scores come back; other columns, whatever their names and
-    types, stay in the JVM. The net's size is fixed by its settings (some 2 MB)."""
-    small_batches(docs.sparkSession)
+def column_of(net: Net, value):
+    """An Arrow UDF over texts; ``value`` turns a logit into what is returned. The net's size is fixed (some 2 MB)."""
 
     @F.arrow_udf("double")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = None if net.constant is not None else Scorer(net)
         for column in columns:
             texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-            found = [scorer.net.probability(scorer.logits(texts[a:b])) for a, b in in_slices(texts, net.s.slice_bytes)] if scorer else [np.full(len(texts), net.constant)]
-            yield pa.array(np.concatenate([*found, np.zeros(0)]).astype(np.float64))
+            if scorer is None:
+                yield pa.array([net.constant] * len(texts), pa.float64())
+            else:
+                yield pa.array([value(z) for a, b in in_slices(texts, net.s.slice_bytes) for z in scorer.logits(texts[a:b]).tolist()], pa.float64())
         del scorer
         release()
 
-    return docs.withColumn("toxic_score", run("text"))
+    return run("text")
+
+
+def with_logit(docs: DataFrame, net: Net) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.withColumn("toxic_logit", column_of(net, float))
+
+
+def score(docs: DataFrame, net: Net) -> DataFrame:
+    """docs with ``toxic_score``. Only texts go to Python and only scores come back; other columns stay in the JVM."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn("toxic_score", column_of(net, net.probability))
 
 
 def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` with toxic_score, the language's toxic_threshold and ``rejected``."""
     net, thresholds = learn(docs, labels, s)
-    scored = score(docs, net)
     pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
     own = F.lit(thresholds[None])
     if pairs and "lang" in docs.columns:
         own = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit(""))), own)
-    return scored.withColumn("toxic_threshold", own).withColumn("rejected", F.col("toxic_score") >= F.col("toxic_threshold"))
+    verdict = lambda df: score(df, net).withColumn("toxic_threshold", own).withColumn("rejected", F.col("toxic_score") >= F.col("toxic_threshold"))
+    return carrying(docs, ("doc_id", "text", "lang"), ("toxic_score", "toxic_threshold", "rejected"), verdict)
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,35 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark, odd, empty):
     assert quality.compression_bands(odd).count() == len(ODD) and quality.compression_bands(empty).count() == 0
 
 
+def plain_bands(text):
+    """The verdict of the bands by its own words: (bytes below which a row holds, lowest, highest ratio)."""
+    import zstandard
+
+    raw = (text or "").encode()
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x)) / len(x)
+    if not raw:
+        return True
+    whole = ((64, 0.0, 9.0), (256, 0.30, 1.30), (1024, 0.25, 0.90), (2048, 0.18, 0.80), (4096, 0.14, 0.72))
+    low, high = next(((a, b) for n, a, b in whole if len(raw) < n), (0.10, 0.68))
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    judged = [c for c in chunks if len(c) >= 1024]
+    bad = [c for c in judged if not (0.18 <= ratio(c) <= 0.80 if len(c) < 2048 else 0.14 <= ratio(c) <= 0.72)]
+    return low <= ratio(raw) <= high and len(bad) <= len(judged) / 4
+
+
+def test_verdicts_equal_plain_bands(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd_ones = docs_of(spark, [*ODD, "ab " * 700, "x1 " * 30]).select((F.col("doc_id") + 10_000).alias("doc_id"), "text")
+    rows = docs.unionByName(odd_ones)
+    got = {r["doc_id"]: r for r in quality.compression_bands(rows).collect()}
+    for r in rows.collect():
+        n_words, word_chars, n_symbols, n_dup_lines, n_repeat = brute_base(r["text"])
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)
+        failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+        assert g["base_failed"] == failed and g["kept"] == (not failed and plain_bands(r["text"]))
+
+
 def toxic_docs(spark, n=500):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
@@ -86,6 +115,27 @@ def toxic_docs(spark, n=500):
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plain_score(text, net):
+    """The score of a text by loops over words, filters and positions."""
+    s, zero = net.s, [np.float32(0)] * net.s.size
+    vectors = []
+    for w in (text or "").encode().split():
+        rows = [net.table[b] for b in toxicity.features(w, s)]
+        total = [x for x in rows[0]]
+        for row in rows[1:]:
+            total = [a + b for a, b in zip(total, row)]
+        unit = [float(np.rint(x * np.float32(toxicity.VECTOR / len(rows)))) / toxicity.VECTOR for x in total]
+        vectors.append([min(toxicity.MOST_VECTOR, max(-toxicity.MOST_VECTOR, x)) for x in unit])
+    vectors = vectors or [zero]
+    n, logit, j = len(vectors), net.out_bias, 0
+    for width in s.widths:
+        for f in range(s.filters):
+            best = max(sum(float(vectors[i + k][d]) * float(net.filters[width][k, d, f]) for k in range(width) if i + k < n for d in range(s.size)) for i in range(n))
+            logit += max(best + net.bias[j], 0.0) * net.out[j]
+            j += 1
+    return 1 / (1 + np.exp(-min(30.0, max(-30.0, net.scale * logit + net.shift))))
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     docs, labels = toxic_docs(spark)
     s = toxicity.Settings(epochs=4)
@@ -99,6 +149,45 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert {x["toxic_score"] for x in toxicity.judged(odd, none).collect()} == {0.0} and toxicity.judged(empty, none).count() == 0
 
 
+def test_toxicity_scores_equal_plain_loops_in_any_batch(spark, sf):
+    net, _ = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), toxicity.Settings(epochs=2))
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    some = sorted(texts, key=len)[:60] + ["", " ", "one", "é " * 50]
+    scorer = toxicity.Scorer(net)
+    together = scorer.logits([t.encode() for t in texts + some]).tolist()
+    alone = [toxicity.Scorer(net).logits([t.encode()])[0] for t in texts + some]
+    assert together == alone
+    assert [net.probability(z) for z in together[len(texts) :]] == pytest.approx([plain_score(t, net) for t in some], abs=1e-12)
+    docs = docs_of(spark, some + [None], **{"toxic_score": 5, "a.b`c": 6, "rejected": 7})
+    for n in (1, 3):
+        got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs.select("doc_id", "text").repartition(n), net).collect()}
+        assert [got[i] for i in range(len(some))] == [net.probability(z) for z in together[len(texts) :]] and got[len(some)] == got[60]
+    long = " ".join(texts)  # a text of many stretches
+    step = max(scorer.tops([t.encode() for t in texts]).max(axis=0).max() for _ in (0,))
+    assert scorer.tops([long.encode()]).max() >= step
+    out = toxicity.judged(docs, spark.read.parquet(f"{sf}/labels.parquet").limit(0))
+    assert out.columns == [*docs.columns[:5], "toxic_score_in", "a.b`c", "rejected_in", "toxic_score", "toxic_threshold", "rejected"]
+    assert {tuple(r)[5:8] for r in out.collect()} == {(5, 6, 7)}
+
+
+def test_toxicity_calibrates_on_all_rows_that_were_not_fitted(spark):
+    docs, labels = toxic_docs(spark, 900)
+    net, thresholds = toxicity.learn(docs, labels, toxicity.Settings(epochs=3, most_toxic=40, most_clean=60))
+    assert set(thresholds) == {None, "en"} and 0.3 <= thresholds["en"] <= 0.8
+    z, y = np.linspace(-4, 4, 200), (np.linspace(-4, 4, 200) > 0.5).astype(float)
+    scale, shift = toxicity.logistic(z, y, np.ones(200))
+    assert scale == 5.0 or abs(-shift / scale - 0.5) < 0.1
+    twice = docs.unionByName(docs.limit(50)).unionByName(docs.limit(1).withColumn("text", F.lit("other")))
+    assert toxicity.judged(twice, labels, toxicity.Settings(epochs=1)).count() == 951
+
+
+def plain_likeness(a, b):
+    """Bins that hold the same tuple over bins that one of both fills, brought back to the share of k-mers."""
+    one, two = ([int(x) for x in fingerprint.signature(t or "")] for t in (a, b))
+    filled = [(x, y) for x, y in zip(one, two) if x or y]
+    return (sum(x == y for x, y in filled) / len(filled)) ** 0.5 if filled else 1.0
+
+
 def test_fingerprints_follow_edits_and_order(spark, odd, empty):
     r = random.Random(4)
     text = prose(r, 300)
@@ -117,6 +206,7 @@ def test_fingerprints_follow_edits_and_order(spark, odd, empty):
         e = fingerprint.edited(t or "", texts[(i + 1) % len(texts)] or "")
         assert got[i]["n_chars"] == len(t or "") and got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
         assert got[i]["edited_fingerprint"] == sig(e).astype(">u4").tobytes().hex()
+        assert got[i]["near_edited"] == plain_likeness(t, e) and got[i]["near_next"] == plain_likeness(t, texts[(i + 1) % len(texts)])
     assert fingerprint.fingerprints(odd).count() == len(ODD) and fingerprint.fingerprints(empty).count() == 0
     twice = rows.limit(3).unionByName(rows.limit(3)).unionByName(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert fingerprint.fingerprints(twice, ranges=3).count() == 7
@@ -183,6 +273,51 @@ def test_schedules_are_inverted(spark):
     assert np.allclose(got, np.interp(us, area / area[-1], t), atol=1e-4)
 
 
+def plain_language(text, model):
+    """Language and score of a text by loops: each word's n-grams one by one, each machine's mean, then the votes."""
+    words, s = text.split(), model.s
+    total = np.zeros(model.weights.shape[1])
+    for w in words:
+        marked = f"<{w.lower()}>"
+        own = [zlib.crc32(marked.encode()) % s.buckets]
+        for n in s.grams:
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for k, c in enumerate(marked[i : i + n]):
+                    h = ord(c) if k == 0 else (h * 0x9E6C63D0876A9A47 + ord(c)) % 2**64
+                own.append(int(langid.mix64(np.array([(h + (n << 40)) % 2**64], dtype=np.uint64))[0]) % s.buckets)
+        total += sum(model.weights[b].astype(float) for b in own) / len(own)
+    out = total * s.buckets**0.5 / len(words) + model.weights[-1]
+    families = out[: len(model.families)]
+    family = model.families[int(families.argmax())]
+    gap = np.sort(families)[-1] - np.sort(families)[-2]
+    score = 1 / (1 + np.exp(-2 * gap))
+    members = model.members[family]
+    votes = dict.fromkeys(members, 0.0)
+    strength = dict.fromkeys(members, 0.0)
+    for k, (a, b) in enumerate(model.pairs):
+        if a in members:
+            m = out[len(model.families) + k]
+            votes[a if m > 0 else b] += 1
+            strength[a] += m
+            strength[b] -= m
+    best = max(members, key=lambda x: votes[x] + 1e-3 * np.tanh(strength[x]))
+    if len(members) > 1:
+        score *= 1 / (1 + np.exp(-2 * strength[best] / (len(members) - 1)))
+    return best, score
+
+
+def test_language_equals_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs)
+    rows = sorted((r for r in docs.collect() if r["text"] and langid.has_letter(r["text"])), key=lambda r: len(r["text"]))[:120]
+    got = {r["doc_id"]: r for r in langid.predict(docs.select("doc_id", "text").repartition(3), model).collect()}
+    for r in rows:
+        lang, score = plain_language(r["text"], model)
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=2e-4)
+        assert got[r["doc_id"]]["lang_pred"] == lang or score < 0.26
+
+
 def test_language_on_held_out_rows(spark, odd, empty):
     r = random.Random(7)
     stems = {"en": ["the", "ing", "ough"], "de": ["sch", "ung", "ich"], "fr": ["eau", "tion", "ê"], "es": ["ción", "ñ", "illa"]}
@@ -195,6 +330,8 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert np.mean([x["lang_pred"] == x["true"] for x in got]) > 0.97
     out = {x["doc_id"]: x for x in langid.predict(odd.select("doc_id", "text"), model).collect()}
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (0, 1, 2)) and out[3]["lang_pred"] in stems
+    signs = docs_of(spark, ["½ ② Ⅷ ² 7 _ !", "ª", "ж", "7" * 1000, "7" * 1000 + "x"])
+    assert [x["lang_pred"] != "und" for x in sorted(langid.predict(signs.select("doc_id", "text"), model).collect(), key=lambda x: x["doc_id"])] == [False, True, True, False, True]
     assert langid.language_id(empty).count() == 0
 
 
