@@ -44,7 +44,7 @@ class Settings:
     batch: int = 32
     most_toxic: int = 2000
     most_clean: int = 4000
-    most_bytes: int = 20_000_000  # of all texts that are learned from
+    most_bytes: int = 12_000_000  # of all texts that are learned from
     held: int = 4  # one in so many labelled rows is never learned from
     bins: int = 16  # of a logit, for each unit
     shrink: float = 0.25  # weight of all languages' errors in a language's threshold
@@ -180,8 +180,9 @@ def fit(texts: list[bytes], labels: np.ndarray, s: Settings) -> Net:
         net.constant = float(positive)
         return net
     index: dict[bytes, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in (t.split() or [b""])]) for t in texts]
-    feats = np.array([features(w, s) for w in index])
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in (t.split() or [b""])), dtype=np.int32) for t in texts]
+    feats = np.fromiter((b for w in index for b in features(w, s)), dtype=np.int32).reshape(len(index), -1)
+    index.clear()
     weight = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
     params = {"table": net.table, "bias": net.bias, "out": net.out} | {w: net.filters[w] for w in s.widths}
     squares = {k: np.full_like(v, 1e-3) for k, v in params.items()}
@@ -228,18 +229,22 @@ def fit(texts: list[bytes], labels: np.ndarray, s: Settings) -> Net:
 
 
 def logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of the logistic curve that fits best, by Newton's method with a little ridge towards (1, 0)."""
-    at, ridge = np.array([1.0, 0.0]), 1e-3 * weight.sum()
-    x = np.stack([z, np.ones(len(z))])
+    """Scale and shift of the logistic curve: it is 0.5 where a cut makes the fewest errors (the middle, if many do), so that a
+    few labels that no word explains don't move it, and as steep as fits best (Newton's method, a little ridge towards 1)."""
+    edges = np.unique(np.concatenate([z, [z.max() + 1]]))
+    gain = np.bincount(np.searchsorted(edges, z, side="right"), weights=np.where(y == 1, weight, -weight), minlength=len(edges) + 1)
+    errors = np.cumsum(gain[: len(edges)])  # below each edge: toxic rows missed less clean rows let through
+    best = np.flatnonzero(errors <= errors.min() + 1e-9 * weight.sum())
+    low = z[z < edges[best[0]]].max(initial=edges[best[0]] - 1)
+    cut = float((low + edges[best[-1]]) / 2)
+    x, scale, ridge = z - cut, 1.0, 1e-3 * weight.sum()
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
-        slope = x @ (weight * (p - y)) + ridge * (at - [1.0, 0.0])
-        bend = (x * (weight * p * (1 - p))) @ x.T + ridge * np.eye(2)
-        step = np.linalg.solve(bend, slope)
-        at = at - step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(scale * x, -30, 30)))
+        step = ((weight * (p - y) * x).sum() + ridge * (scale - 1)) / ((weight * p * (1 - p) * x * x).sum() + ridge)
+        scale = min(5.0, max(0.05, scale - min(1.0, max(-1.0, step))))
+        if abs(step) < 1e-9:
             break
-    return float(min(5.0, max(0.05, at[0]))), float(at[1])
+    return scale, -scale * cut
 
 
 def thresholds_of(net: Net, counts: list[tuple]) -> dict:
@@ -276,8 +281,10 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
             ids.append(r["doc_id"])
     kind = found.schema["doc_id"].dataType.simpleString()
     fitted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
-    taken = sorted(found.join(F.broadcast(fitted), "doc_id").collect(), key=lambda r: (r["o"], r["doc_id"]))
-    net = fit([r["text"].encode() for r in taken], np.array([r["toxic"] for r in taken], dtype=int), s)
+    taken = found.join(F.broadcast(fitted), "doc_id").select("o", "doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
+    net = fit(taken.column("text").to_pylist(), np.array(taken.column("toxic").to_pylist(), dtype=int), s)
+    del taken
+    release()
     if net.constant is not None:
         return net, {None: 0.5}
     rest = known.join(F.broadcast(fitted), "doc_id", "left_anti")
