@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64
+from .common import documents, mix64, release, small_batches
 from .ordering import with_followers
 
 
@@ -29,6 +29,7 @@ class Settings:
     sketches: int = 64
     length: int = 2
     seed: int = 0x5EED
+    range_bytes: int = 16_000_000
 
 
 EMPTY_BIN = np.uint32(0)
@@ -114,14 +115,16 @@ OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprin
 def fingerprints(docs: DataFrame, s: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:  # noqa: B008
     """One row for each row of ``docs``: id, n_chars, fingerprint and those of its edited text and likenesses.
 
-    Texts move once, to their range of ids; a text's k-mers are hashed where it is read in order, and only the first text
-    of each range travels twice."""
+    Texts move once, to their range of ids, which is a partition of its own and holds about ``range_bytes`` of text; a text's
+    k-mers are hashed where it is read in order, and only the first text of each range travels twice."""
     docs = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     if ranges is None:
-        ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = 1 + (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // s.range_bytes
     kind = docs.schema["id"].dataType.simpleString()
     ranged, _ = with_followers(docs, "id", ranges, ["tie"])
-    in_order = ranged.repartition(ranges, "range_id").sortWithinPartitions("range_id", "follower", "id", "tie", "text")
+    in_order = ranged.repartitionById(ranges, F.col("range_id")).sortWithinPartitions("range_id", "follower", "id", "tie", "text")
+
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import hashlib
@@ -139,6 +142,7 @@ def fingerprints(docs: DataFrame, s: Settings = Settings(), id_column: str = "do
                 held = None if follower else (rng, key, text, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, batch.schema.field("id").type) for i, c in enumerate(zip(*rows, strict=True))], ["id", *(x.split()[0] for x in OUT.split(", "))])
+        release()
 
     return in_order.select("range_id", "follower", "id", "text").mapInArrow(run, f"id {kind}, {OUT}").withColumnRenamed("id", id_column)
 
