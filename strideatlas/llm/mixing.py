@@ -7,10 +7,13 @@ weight schedule, integrated over training time and scaled to its target, is its
 the middle of a pass gives the pass its training position, and documents are range-sorted by position.
 
 Running sums are taken within hashed buckets of a source and over the buckets' sums, so a source with a third of all rows
-is spread over as many tasks as it has buckets. Nothing is collected but the number of rows.
+is spread over as many tasks as it has buckets. The hash is one of doc_id and text, so rows without an id spread as well. Targets
+are worked out over a row for each source in one task, as their sizes depend on each other. Nothing is collected but the
+number of rows; (source, hash, size) of all rows is written once, and read again for the sums.
 
 Defined results: null text has size 0 and is never taken; null is a source of its own, the last; with no words at all every
-target is 0; repeated rows are taken each by itself.
+target is 0; repeated rows are taken each by itself, and equal rows of a bucket stand in any order, as they take the same in
+sum; further columns travel untouched; in ``mixed``, one named ``position`` comes back as position_in.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents
+from .common import WORD, carrying, checkpointed, documents
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,10 @@ class Mix:
     least_digits: int = 2
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def sizes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+    """docs with size and ``order_key``, a hash by whose order a source's documents stand."""
+    own = F.concat_ws(":", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
+    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("order_key", F.md5(own))
 
 
 def targets(by_source: DataFrame, mix: Mix) -> DataFrame:
@@ -73,23 +78,34 @@ def invert(knots: tuple, share: Column) -> Column:
     return out
 
 
-def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """docs with size, source_size, target, class, ``start`` (words before it in its source's order) and taken."""
-    rows = docs.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    digits = max(mix.least_digits, math.ceil(math.log(max(1, docs.count()) / mix.rows_per_bucket + 1, 16)))
-    rows = rows.withColumn("bucket", F.substring("order_key", 1, digits)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.min("source").alias("of"))
+def placed(rows: DataFrame, mix: Mix, sized: DataFrame | None = None) -> DataFrame:
+    """rows (from ``sizes``) with what ``plan`` adds. ``sized``: source, order_key and size of the same rows where they lie
+    written already."""
+    sized = checkpointed(rows.select("source", "order_key", "size")) if sized is None else sized
+    digits = max(mix.least_digits, math.ceil(math.log(max(1, sized.count()) / mix.rows_per_bucket + 1, 16)))
+    keyed = lambda df: df.withColumn("bucket", F.substring("order_key", 1, digits)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    rows = keyed(rows)
+    sums = checkpointed(keyed(sized).groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.min("source").alias("of")))
     by_source = targets(sums.groupBy(F.col("of").alias("source")).agg(F.sum("bucket_size").alias("source_size")), mix)
     by_source = by_source.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
     running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(running), F.lit(0))).drop("of", "bucket_size")
     offsets = offsets.join(by_source, "source_key")
     within = Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(offsets, ["source_key", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    out = rows.join(offsets, ["source_key", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     for p in range(mix.cap):
-        placed = placed.withColumn(f"pass_{p}", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.lit(p) * F.col("source_size") - F.col("start"))))
-    placed = placed.withColumn("taken", sum((F.col(f"pass_{p}") for p in range(1, mix.cap)), F.col("pass_0")))
-    return placed.drop("order_key", "bucket", "source_key", "bucket_start")
+        out = out.withColumn(f"pass_{p}", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.lit(p) * F.col("source_size") - F.col("start"))))
+    return out.withColumn("taken", sum((F.col(f"pass_{p}") for p in range(1, mix.cap)), F.col("pass_0")))
+
+
+OWN = ("doc_id", "text", "source")
+
+
+def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+    """docs with size, source_size, target, class, ``start`` (words before it in its source's order), what each pass takes and
+    ``taken``, their sum. A further column that is named like one of these comes back as name_in."""
+    made = ("size", "source_size", "target", "class", "start", *(f"pass_{p}" for p in range(mix.cap)), "taken")
+    return carrying(docs, OWN, made, lambda df: placed(sizes(df, mix), mix))
 
 
 def position(mix: Mix, p: Column) -> Column:
@@ -105,24 +121,27 @@ def position(mix: Mix, p: Column) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     """The mix itself: each document once for each pass, in order of training position. A pass that the target cuts is given
-    whole if at least half of it lies before the target, else left out. Columns of ``docs`` and ``position``."""
-    names = docs.columns
-    rows = plan(sizes(docs), mix)
-    passes = F.filter(F.array(*[F.when((F.col(f"pass_{p}") > 0) & (2 * F.col(f"pass_{p}") >= F.col("size")), F.lit(p)) for p in range(mix.cap)]), lambda x: x.isNotNull())
-    out = rows.withColumn("pass", F.explode(passes)).withColumn("position", position(mix, F.col("pass")))
-    return out.orderBy("position", "doc_id", "pass").select(*names, "position")
+    whole if at least half of it lies before the target, else left out. Columns of ``docs``, ``position`` and ``mix_pass``."""
+
+    def passes(df: DataFrame) -> DataFrame:
+        rows = placed(sizes(df, mix), mix)
+        given = F.filter(F.array(*[F.when((F.col(f"pass_{p}") > 0) & (2 * F.col(f"pass_{p}") >= F.col("size")), F.lit(p)) for p in range(mix.cap)]), lambda x: x.isNotNull())
+        return rows.withColumn("mix_pass", F.explode(given)).withColumn("position", position(mix, F.col("mix_pass")))
+
+    return carrying(docs, OWN, ("position", "mix_pass"), passes).orderBy("position", "doc_id", "mix_pass")
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix()
-    rows = plan(sizes(documents(spark, sf_dir)).select("doc_id", "source", "size"), mix)
+    sized = checkpointed(sizes(documents(spark, sf_dir), mix).select("doc_id", "source", "size", "order_key"))
+    rows = placed(sized, mix, sized)
     return rows.withColumn("position", position(mix, F.lit(0))).orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS order_key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS class FROM s),
