@@ -8,7 +8,8 @@ Seeds are the shares of a host's pages that rules allow or block. Links are dist
 ``href``/``src``; relative links stay on their host and carry nothing. Scores are whole numbers (fixed point) and every step
 rounds down, so sums do not depend on their order. Rounds go on until no score grows by more than a thousandth of the limit
 in four of them. Edges are pre-aggregated where they are found; edges and scores are
-checkpointed in the shared folder. Joins on hosts are equi-joins that adaptive execution may split when a host is hot.
+checkpointed in the shared folder. A host's scores come in ``salts`` copies, so that the pages of a hot host meet them in many
+tasks; seeds and degrees of hot hosts are pre-aggregated.
 
 Defined results: null url, or one without ``://``, has empty host and path, no rule and is allowed; null html has no links;
 repeated rows are judged each by itself.
@@ -33,10 +34,11 @@ LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\s]+)"
 class Settings:
     rounds: int = 8  # of the SQL; the operator goes on until the scores have settled
     damping: int = 85  # percent of a score that links pass on
-    unit: int = 1_000_000_000_000  # fixed point of a whole seed
+    unit: int = 10_000_000_000  # fixed point of a whole seed: sums over billions of hosts stay in 64 bits
     threshold: int = 50  # percent of the start of a wholly blocked host
     rules: tuple = RULES
     checkpoint_every: int = 4
+    salts: int = 32  # a hot host's pages meet its verdict in so many tasks
     settled: int = 1000  # scores have settled when none grew by more than this part of the limit between checkpoints
 
 
@@ -103,7 +105,9 @@ def url_filter(pages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
     judged = parts(pages.select("page_id", "url", "html")).withColumn("fit", fitting(s.rules))
     scores = host_scores(judged, s)
     limit = limit_of(s)
-    out = judged.select("page_id", "host", "path", "fit").join(scores, "host", "left")
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(s.salts)).cast("int")
+    copies = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
+    out = judged.select("page_id", "host", "path", "fit", salt.alias("salt")).join(copies, ["host", "salt"], "left")
     own = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0)) >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
 
