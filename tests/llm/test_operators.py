@@ -213,6 +213,11 @@ def test_fingerprints_follow_edits_and_order(spark, odd, empty):
     assert fingerprint.fingerprints(odd).count() == len(ODD) and fingerprint.fingerprints(empty).count() == 0
     twice = rows.limit(3).unionByName(rows.limit(3)).unionByName(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert fingerprint.fingerprints(twice, ranges=3).count() == 7
+    named = fingerprint.fingerprints(rows.withColumn("doc_id", F.format_string("doc-%05d", "doc_id")), ranges=5)
+    assert named.rdd.getNumPartitions() >= 5 and sum(1 for n in named.rdd.glom().map(len).collect() if n) >= 4
+    assert {x["doc_id"]: x["edited_sha256"] for x in named.collect()} == {f"doc-{i:05d}": got[i]["edited_sha256"] for i in got}
+    small = fingerprint.fingerprints(rows, fingerprint.Settings(range_bytes=5000)).collect()
+    assert sorted(map(str, small)) == sorted(str(x) for x in got.values())
 
 
 def test_signature_takes_the_smallest_of_each_bin():
@@ -239,7 +244,7 @@ def test_mixing_fills_targets_and_sorts_by_position(spark, odd, empty):
     r = random.Random(6)
     texts = [prose(r, r.randint(1, 120)) for _ in range(120)]
     rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 5}", 0) for i, t in enumerate(texts)]
-    plan = mixing.plan(mixing.sizes(spark.createDataFrame(rows, DOCS))).collect()
+    plan = mixing.plan(spark.createDataFrame(rows, DOCS)).collect()
     by = collections.defaultdict(lambda: [0, 0, 0.0])
     for x in plan:
         assert x["taken"] <= 3 * x["size"]
@@ -263,7 +268,15 @@ def test_mixing_fills_targets_and_sorts_by_position(spark, odd, empty):
         assert b[2] == pytest.approx(want[k]) and b[1] == int(b[2] + 1e-9)
     out = [x["position"] for x in mixing.mixed(spark.createDataFrame(rows, DOCS)).collect()]
     assert out == sorted(out) and 0 <= out[0] and out[-1] <= 1
-    assert mixing.plan(mixing.sizes(odd)).count() == len(ODD) and mixing.mixed(empty).count() == 0
+    assert mixing.plan(odd).count() == len(ODD) and mixing.mixed(empty).count() == 0 and mixing.plan(empty).count() == 0
+    clash = odd.withColumns({"class": F.lit(8), "target": F.lit(9), "taken": F.lit(10), "a.b": F.lit(11), "position": F.lit(12)})
+    for out, names in ((mixing.plan(clash), ("size", "class", "target", "taken")), (mixing.mixed(clash), ("position",))):
+        kept = [c + "_in" if c in names else c for c in clash.columns]
+        assert out.columns[: len(kept)] == kept
+        assert {tuple(r)[5 : len(kept)] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)}
+    nulls = spark.createDataFrame([(None, prose(r, 30), "en", "s", 0) for _ in range(300)], DOCS)
+    got = mixing.plan(nulls).collect()
+    assert len(got) == 300 and sorted(x["start"] for x in got) == [30 * i for i in range(300)] and sum(x["taken"] for x in got) == 9000
 
 
 def test_schedules_are_inverted(spark):
@@ -490,7 +503,25 @@ def test_preference_pairs(spark):
     assert x["rejected_completion"][a:b] == "bad one\n"
     assert not got[2]["valid"] and got[2]["chosen_completion"] == "" and got[3]["prompt"] is not None and not got[4]["valid"]
     conv = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", "x"), (1, 0, "user", "b"), (1, 1, "assistant", None), (2, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
-    assert preference.swapped_answers(conv).count() == 2 and preference.swapped_answers(conv.where("false")).count() == 0
+    assert preference.swapped_answers(conv).count() == 3 and preference.swapped_answers(conv.where("false")).count() == 0
+    more = conv.unionByName(conv.where("conv_id = 0")).unionByName(spark.createDataFrame([(None, 0, "assistant", "lost"), (9, None, None, None), (7, 0, "assistant", "x"), (7, 0, "assistant", "w")], conv.schema))
+    got = {x["conv_id"]: x for x in preference.preference_format(preference.swapped_answers(more).withColumn("prompt", F.lit("own")).withColumn("a.b", F.lit(1))).collect()}
+    assert set(got) == {0, 1, 2, 7, 9, None} and {k: x["partner_id"] for k, x in got.items()} == {0: 1, 1: 7, 7: 0, 2: 2, 9: 9, None: None}
+    assert all(x["prompt_in"] == "own" and x["a.b"] == 1 for x in got.values())
+    assert not got[2]["valid"] and got[2]["chosen_completion"] == "" and got[2]["prompt"] == "<|user|>\nalone\n" and not got[None]["valid"]
+    assert got[1]["rejected_completion"] == "<|assistant|>\nx\n" and got[0]["prompt"] == "<|user|>\na\n" * 2
+    assert got[7]["valid"] and got[7]["chosen_completion"] == "<|assistant|>\nw\n<|assistant|>\nx\n"  # both say what the partner says
+
+
+def test_partners_follow_in_order(spark):
+    r = random.Random(14)
+    ids = r.sample(range(-1000, 100_000), 700)
+    got = {x["conv_id"]: x["partner_id"] for x in preference.next_known(spark.createDataFrame([(i,) for i in ids], "conv_id long"), 60).collect()}
+    order = sorted(ids)
+    assert got == dict(zip(order, [*order[1:], order[0]]))
+    names = sorted({f"talk-{r.randrange(10**6):06d}" for _ in range(300)})
+    got = {x["conv_id"]: x["partner_id"] for x in preference.next_known(spark.createDataFrame([(i,) for i in names], "conv_id string"), 60).collect()}
+    assert got == dict(zip(names, [*names[1:], names[0]]))
 
 
 def brute_components(texts, words, percent=80):
