@@ -561,6 +561,18 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, words):
     assert neardup.near_duplicates(twice).count() == 2 * len(ODD) + 1
 
 
+def test_near_duplicates_under_a_crowded_key(spark):
+    """Short texts that share a shingle, each with one of its own: many small clusters under the same keys."""
+    r = random.Random(15)
+    texts = [f"a b c{i}" for i in range(60)] + [f"a b c{i} a b" for i in range(60)] + ["x y z w v u " * 3 + str(i % 7) for i in range(30)] + ["p q", "q p", "p q p", "q p q"]
+    r.shuffle(texts)
+    sets, want = brute_components(texts, 2)
+    for s in (neardup.Settings(words=2, hub=3, block=4), neardup.Settings(words=2, hub=10**6)):
+        got = {x["doc_id"]: x for x in neardup.near_duplicates(docs_of(spark, texts), s).collect()}
+        assert [got[i]["component_id"] for i in range(len(texts))] == want
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(x) for x in sets]
+
+
 def test_signature_distance_guarantee():
     s = neardup.Settings(words=2)
     r = np.random.default_rng(13)
