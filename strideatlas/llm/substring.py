@@ -4,14 +4,17 @@ A window of ``window`` words belongs to the smallest (by hash) of its ``minimise
 same minimiser travel as one packed string, the super-k-mer, to the minimiser's bucket, where all windows of the bucket are
 sorted and counted on their whole word sequences. Every window of equal words has the same minimiser, so counts are exact.
 
-1. One pass counts runs and lists the frequent ones (heavy hitters, bounded by 1 / ``hot_share``). They rank behind all
-   others as minimisers, so a passage that stands in a third of all documents draws only windows that lie inside it whole.
+1. One pass counts runs (lossy counting within each task) and lists those with a share of ``hot_share`` or more, so 2 /
+   ``hot_share`` at most. They rank behind all others as minimisers, so a passage or phrase that stands in a third of all
+   documents draws only windows that lie among such runs whole.
 2. Documents are dealt into groups by hash. A group sends each distinct super-k-mer once, with a mark if it occurs there
    more than once; what goes to one bucket is compressed together.
-3. A bucket answers each group with the runs of repeated windows in each of its strings.
+3. A bucket holds equal strings of many groups once, and answers each group with the runs of repeated windows in each of its
+   strings.
 4. The group, cut again from the same shuffled rows, marks words and drops them.
 
-A group or bucket holds about ``group_bytes`` of text whatever the input's size. Nothing is capped.
+A group holds about ``group_bytes`` of text whatever the input's size, a bucket about as much and what its most frequent
+minimiser adds, at most a share of ``hot_share`` of all runs; partitions hold about ``partition_bytes``. Nothing is capped.
 
 Defined results: null and empty texts have no words; texts with fewer words than a window lose none; repeated rows repeat
 each other's windows, so both lose them; a document may lose all its words.
@@ -26,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, documents, in_slices, mix64, passed, small_batches
+from .common import byte_texts, checkpointed, documents, in_slices, mix64, passed, quoted, release, small_batches
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 35
     minimiser: int = 6
-    hot_share: float = 5e-5  # of all runs; a run with a larger share ranks last
+    hot_share: float = 5e-6  # of all runs; a run with a larger share ranks last
     group_bytes: int = 4_000_000
+    partition_bytes: int = 16_000_000
+    most_partitions: int = 50_000  # of a shuffle; beyond that partitions grow, groups and buckets do not
 
 
 BASE = 0xA24BAED4963EE407
@@ -94,30 +99,57 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def survey(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]:
-    """Bytes of all texts, and the sorted hashes of frequent runs. Each slice of a batch reports its own frequent runs
-    only, so at most 1 / hot_share rows leave it and at most about twice as many reach the driver."""
+class Frequent:
+    """Lossy counting: all hashes with a share of ``share`` or more of those added, with counts that miss half of that at most.
+    ``missed`` is what a hash may have stood before it was taken up. Holds a number of hashes bounded by the share."""
+
+    def __init__(self, share: float):
+        self.share, self.total = share, 0
+        self.values, self.counts, self.missed = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    def add(self, hashes: np.ndarray) -> None:
+        if not len(hashes):
+            return
+        values, counts = np.unique(hashes, return_counts=True)
+        everything = np.concatenate([self.values, values])
+        missed = np.concatenate([self.missed, np.full(len(values), self.total * self.share / 2)])
+        order = np.argsort(everything, kind="stable")  # of equal ones the older comes first
+        first = np.flatnonzero(np.concatenate([[True], everything[order][1:] != everything[order][:-1]]))
+        sums = np.add.reduceat(np.concatenate([self.counts, counts])[order], first)
+        self.total += len(hashes)
+        keep = sums + missed[order][first] > self.total * self.share / 2
+        self.values, self.counts, self.missed = everything[order][first][keep], sums[keep], missed[order][first][keep]
 
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.counts >= max(8, self.total * self.share / 2)
+        return self.values[keep], self.counts[keep]
+
+
+def survey(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and the sorted hashes of frequent runs. Each task reports its own frequent runs only, 2 / hot_share at
+    most, and as many at most reach the driver (8 bytes each)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
+        frequent, size = Frequent(s.hot_share), 0
         for batch in batches:
             texts = byte_texts(batch)
             for a, b in in_slices(texts, 2 * LONGEST):
                 lists = [t.split() for t in texts[a:b]]
                 words = Words(b"\n".join(b" ".join(w) for w in lists if len(w) >= s.window) or b"-")
-                runs = words.hashes(words.windows(s.minimiser), s.minimiser) >> np.uint64(1)
-                values, counts = np.unique(runs, return_counts=True)
-                often = counts >= max(8, len(runs) * s.hot_share)
-                none = np.zeros(often.sum(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(counts[often], len(runs))), pa.array(np.append(none, sum(map(len, texts[a:b])))), pa.array(np.append(none, 1).astype(bool))], ["run", "n", "bytes", "head"])
+                frequent.add(words.hashes(words.windows(s.minimiser), s.minimiser) >> np.uint64(1))
+                size += sum(map(len, texts[a:b]))
+        values, counts = frequent.often()
+        none = np.zeros(len(values), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(values.view(np.int64), 0)), pa.array(np.append(counts, frequent.total)), pa.array(np.append(none, size)), pa.array(np.append(none, 1).astype(bool))], ["run", "n", "bytes", "head"])
+        release()
 
     found = docs.select("text").mapInArrow(run, "run long, n long, bytes long, head boolean").groupBy("head", "run").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     found = checkpointed(found)
     total = found.where("head").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     runs, size = total["n"] or 0, total["bytes"] or 0
-    hot = found.where(~F.col("head") & (F.col("n") >= max(8, runs * s.hot_share / 2))).select("run").collect()
-    return size, np.sort(np.array([r["run"] for r in hot], dtype=np.int64).view(np.uint64))
+    hot = found.where(~F.col("head") & (F.col("n") >= max(8, runs * s.hot_share / 2))).select("run").toArrow().column("run")
+    return size, np.sort(np.asarray(hot.to_numpy(), dtype=np.int64).view(np.uint64))
 
 
 class Group:
@@ -206,8 +238,9 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
     size, hot = survey(docs, s)
     groups = max(1, -(-size // s.group_bytes))
     buckets = max(1, -(-3 * size // s.group_bytes))  # super-k-mers overlap: about three times the text
+    parts = lambda n: int(min(s.most_partitions, max(1, -(-n // s.partition_bytes))))
     names = ["doc_id", "text", *(["carried"] if carry else [])]
-    dealt = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    dealt = docs.select("doc_id", "text", *([F.struct(*[F.col(quoted(c)) for c in carry]).alias("carried")] if carry else [])).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(parts(size), "grp")
 
     def send(table: pa.Table) -> pa.Table:
         import zstandard
@@ -224,17 +257,29 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
 
         expand = zstandard.ZstdDecompressor().decompress
         table = table.sort_by("grp")
-        more = [np.frombuffer(x, dtype=np.uint8) for x in table.column("more").to_pylist()]
-        from_part = np.repeat(np.arange(len(more)), [len(x) for x in more])
-        start = np.concatenate([[0], np.cumsum([len(x) for x in more])[:-1]])
-        found = repeated_windows(b"\n".join(expand(z) for z in table.column("z").to_pylist()), np.concatenate(more).astype(np.int64), s.window)
-        answers: dict[int, list[int]] = {}
-        for k, a, b in found:
-            p = int(from_part[k])
-            answers.setdefault(p, []).extend((k - int(start[p]), a, b))
-        g = table.column("grp").to_pylist()
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"grp": pa.array([g[p] for p in answers], pa.int64()), "bucket": pa.array([bucket] * len(answers), pa.int64()), "runs": pa.array([np.array(x, dtype=np.int32).tobytes() for x in answers.values()], pa.binary())})
+        number: dict[bytes, int] = {}  # each distinct string once, whatever the number of groups that sent it
+        twice: list[int] = []
+        refs: list[list[int]] = []  # of each part: its strings' numbers
+        for z, more in zip(table.column("z"), table.column("more"), strict=True):
+            own = []
+            for string, again in zip(expand(z.as_py()).split(b"\n"), more.as_py(), strict=True):
+                k = number.setdefault(string, len(number))
+                if k == len(twice):
+                    twice.append(again)
+                else:
+                    twice[k] = 1
+                own.append(k)
+            refs.append(own)
+        runs: dict[int, list[int]] = {}
+        for k, a, b in repeated_windows(b"\n".join(number), np.array(twice, dtype=np.int64), s.window):
+            runs.setdefault(k, []).extend((a, b))
+        g, bucket = table.column("grp").to_pylist(), table.column("bucket")[0].as_py()
+        out: list[tuple] = []
+        for grp, own in zip(g, refs, strict=True):
+            answer = [x for at, k in enumerate(own) if k in runs for a, b in zip(runs[k][::2], runs[k][1::2], strict=True) for x in (at, a, b)]
+            if answer:
+                out.append((grp, np.array(answer, dtype=np.int32).tobytes()))
+        return pa.table({"grp": pa.array([x for x, _ in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())})
 
     kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in names)
 
@@ -267,7 +312,7 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
         return pa.Table.from_arrays([*(passed(table.column(c)) for c in names), *more], [*names, "n_words", "n_removed", "removed", "kept_text"])
 
     sent = dealt.groupBy("grp").applyInArrow(send, "bucket long, grp long, z binary, more binary")
-    answers = sent.groupBy("bucket").applyInArrow(count, "grp long, bucket long, runs binary")
+    answers = sent.repartition(parts(3 * size), "bucket").groupBy("bucket").applyInArrow(count, "grp long, bucket long, runs binary").repartition(parts(size), "grp")
     out = f"{kinds}, n_words long, n_removed long, removed array<struct<begin:bigint,end:bigint>>, kept_text string"
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(apply, out)
 

@@ -485,6 +485,23 @@ def test_substring_dedup_equals_brute_force(spark, odd, empty):
     assert substring.substring_dedup(odd, carry=tuple(odd.columns)).count() == len(ODD) and substring.substring_dedup(empty).count() == 0
 
 
+def test_frequent_hashes_are_found():
+    r = np.random.default_rng(16)
+    f, share = substring.Frequent(0.01), 0.01
+    often = np.arange(1, 21, dtype=np.uint64)
+    everything = []
+    for _ in range(50):
+        part = np.concatenate([r.integers(100, 1 << 40, 3000).astype(np.uint64), r.choice(often, 2000)])
+        everything.append(part)
+        f.add(part)
+    values, counts = np.unique(np.concatenate(everything), return_counts=True)
+    got = dict(zip(*(x.tolist() for x in f.often())))
+    for v, n in zip(values.tolist(), counts.tolist()):
+        if n >= share * f.total:
+            assert n - share / 2 * f.total <= got[v] <= n
+    assert set(got) <= set(often.tolist()) and len(f.values) < 2 / share * 50
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring.Words, "hashes", lambda self, first, n: np.zeros(len(first), dtype=np.uint64))
     blob = b"a b c d\na b c x\nq b c d"
