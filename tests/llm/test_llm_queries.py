@@ -5,6 +5,7 @@ import collections
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strideatlas.llm import neardup, packing, queries, toxicity
@@ -36,7 +37,7 @@ def test_pipeline_equals_a_plain_version(spark, sf):
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     net, limits = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     scorer = toxicity.Scorer(net)
-    docs = [d for d in docs if net.probability(scorer.logits([d["text"].encode()]))[0] < limits.get(d["lang"], limits[None])]
+    docs = [d for d in docs if net.probability(scorer.logits([d["text"].encode()])[0]) < limits.get(d["lang"], limits[None])]
     sets = {d["doc_id"]: neardup.shingle_set(d["text"].encode(), 5) for d in docs}
     label = {k: k for k in sets}
     changed = True
@@ -71,8 +72,15 @@ def test_stages_keep_the_columns(spark, sf):
     odd = docs.unionByName(docs.limit(2)).unionByName(docs.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars"))
     for name in ("rejected", "nth", "carried", "size", "position", "grp", "n_removed", "class"):
         odd = odd.selectExpr("*", f"1 AS {name}")
+    odd = odd.withColumn("a.b", F.lit(1)).withColumn("c`d e", F.lit("x"))
     for d in (docs, odd, docs.where("false")):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, d, sf)
             assert out.columns == d.columns and out.count() <= 3 * d.count()
         assert corpus_pipeline.pack_sequences(spark, d, sf).count() >= d.select("doc_id").distinct().count()
+
+
+def test_pipeline_of_empty_tables(spark, sf, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
