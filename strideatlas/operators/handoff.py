@@ -70,34 +70,54 @@ def distinct_points(points: np.ndarray) -> np.ndarray:
 
 
 def split_parts(points: np.ndarray, most: int = MOST_CORNERS, within_m: float = MOST_DEVIATION_M, least_m: float = LEAST_CORNER_M) -> list[tuple[int, int, list[int], float]]:
-    """Greedy parts (first, last, corners, residual): a part grows while its corners keep it within the bound; it ends at
-    the last point that did, where the next begins. Growing is tried by doubling, then by halving."""
+    """Parts (first, last, corners, residual), each as long as it goes: a part takes one point after the other as long as its
+    corners keep it within the bound, and ends before the first that does not fit, even if a later one would. Points that are
+    all corners or ends fit anyway, so growing starts there."""
     xy, out, first = plane(points), [], 0
-    fits = lambda last: (lambda c: c if c[1] <= within_m else None)(corners(xy, first, last, most, least_m))
     while first < len(xy) - 1:
-        good, step = first + 1, 1
-        while good + step < len(xy) and fits(good + step):
-            good, step = good + step, step * 2
-        while step:
-            if good + step < len(xy) and fits(good + step):
-                good += step
-            step //= 2
-        own, residual = corners(xy, first, good, most, least_m)
-        out.append((first, good, own, residual))
-        first = good
+        lasts = range(min(len(xy) - 1, first + most + 1), len(xy))
+        tried = ((last, *corners(xy, first, last, most, least_m)) for last in lasts)
+        good = None
+        for trial in tried:
+            if good is not None and trial[2] > within_m:
+                break
+            good = trial
+        out.append((first, *good))
+        first = good[0]
     return out
 
 
+def walkable_runs(coords: list, legs: list | None) -> list[np.ndarray]:
+    """What an app can be handed: the route cut at its straight legs, each run of streets and paths between them by itself; the
+    whole route if it has no legs, no straight leg or nothing else."""
+    whole = [distinct_points(np.array([(c["lon"], c["lat"]) for c in coords]))] if len(coords) else []
+    kinds = [x["kind"] for x in legs] if legs is not None else []
+    if "straight" not in kinds:
+        return whole
+    runs: list[list] = [[]]
+    for leg in legs:
+        if leg["kind"] == "straight":
+            runs.append([])
+        else:
+            runs[-1] += [(c["lon"], c["lat"]) for c in leg["coords"]]
+    return [distinct_points(np.array(x)) for x in runs if len(x) >= 2] or whole
+
+
 def parts(routes: DataFrame) -> DataFrame:
-    """routes (route, coords array<struct<lon,lat>>) -> the parts that an app can take."""
+    """routes (route, coords array<struct<lon,lat>>, optionally legs array<struct<kind, coords>>) -> the parts that an app can take.
+    Points are numbered through a route's runs. A route is one kernel call, so its points have to fit a task."""
+    columns = ["route", "coords", *(["legs"] if "legs" in routes.columns else [])]
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for route, coords in zip(pdf["route"], pdf["coords"], strict=True):
-                points = distinct_points(np.array([(c["lon"], c["lat"]) for c in coords])) if len(coords) else np.zeros((0, 2))
-                for k, (a, b, own, residual) in enumerate(split_parts(points) if len(points) > 1 else []):
-                    rows.append((route, k, a, b, own, residual, sum(metres(points[i], points[i + 1]) for i in range(a, b))))
+            for r in pdf.itertuples(index=False):
+                number, before = 0, 0
+                for points in walkable_runs(r.coords, getattr(r, "legs", None)):
+                    for a, b, own, residual in split_parts(points) if len(points) > 1 else []:
+                        rows.append((r.route, number, before + a, before + b, [before + i for i in own], residual, sum(metres(points[i], points[i + 1]) for i in range(a, b))))
+                        number += 1
+                    before += len(points)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.replace("array<int>", "array").split(", ")])
 
-    return routes.select("route", "coords").mapInPandas(run, PARTS)
+    return routes.select(*columns).mapInPandas(run, PARTS)

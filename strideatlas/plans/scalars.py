@@ -195,6 +195,7 @@ FOG_TILES = """SELECT CAST(z AS INTEGER) AS z, CAST(floor((-73.95e0 + 180e0) / 3
 def handoff_parts(spark, d):
     f = fixes(spark, d)
     r = f.groupBy(F.col("device").alias("route")).agg(F.array_sort(F.collect_list(F.struct("t_ms", "lon", "lat"))).alias("p"))
+    r = r.repartition(2 * spark.sparkContext.defaultParallelism, "route")  # few rows, much work each
     return handoff.parts(r.select("route", F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("coords")))
 
 
