@@ -100,6 +100,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_calls = 0
+
+
+def release_now_and_then(every: int = 16) -> None:
+    """For kernels that are called for one group after the other."""
+    global _calls
+    _calls += 1
+    if _calls % every == 0:
+        release()
+
+
 def byte_texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 

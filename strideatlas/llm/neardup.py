@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, checkpointed, documents, map_batches, mix64, release
+from .common import WordHashes, byte_texts, checkpointed, documents, map_batches, mix64, release, release_now_and_then
 from .components import components
 
 
@@ -223,6 +223,8 @@ def block_links(tasks: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                             linked.add(label[k])
                             found.append((node[k], node[i]))
         t = table.schema.field("node").type
+        del sets, z, known
+        release_now_and_then()
         return pa.table({"a": pa.array([x for x, _ in found], t), "b": pa.array([x for _, x in found], t)})
 
     return rows.groupBy("task").applyInArrow(run, f"a {kind}, b {kind}")

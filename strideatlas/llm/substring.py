@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, documents, in_slices, mix64, passed, quoted, release, small_batches
+from .common import byte_texts, checkpointed, documents, in_slices, mix64, passed, quoted, release, release_now_and_then, small_batches
 
 
 @dataclass(frozen=True)
@@ -250,6 +250,8 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
         g = table.column("grp")[0].as_py()
         rows = [(b, g, compress(b"\n".join(own)), bytes(len(x) > 1 for x in group.uses[b])) for b, own in group.strings.items()]
         b, g, z, more = zip(*rows, strict=True) if rows else ((), (), (), ())
+        del group
+        release_now_and_then()
         return pa.table({"bucket": pa.array(b, pa.int64()), "grp": pa.array(g, pa.int64()), "z": pa.array(z, pa.binary()), "more": pa.array(more, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
@@ -273,6 +275,8 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
         runs: dict[int, list[int]] = {}
         for k, a, b in repeated_windows(b"\n".join(number), np.array(twice, dtype=np.int64), s.window):
             runs.setdefault(k, []).extend((a, b))
+        del number, twice
+        release_now_and_then(64)
         g, bucket = table.column("grp").to_pylist(), table.column("bucket")[0].as_py()
         out: list[tuple] = []
         for grp, own in zip(g, refs, strict=True):
@@ -295,6 +299,7 @@ def substring_dedup(docs: DataFrame, s: Settings = Settings(), carry: tuple = ()
                         mark = marks[d] = np.zeros(group.n_words[d] + 1, dtype=np.int64)
                     mark[first + a] += 1
                     mark[first + b + s.window - 1] -= 1
+        release_now_and_then()
         removed, spans, kept = [], [], []
         for d, text in enumerate(group.texts):
             mark = marks.get(d)

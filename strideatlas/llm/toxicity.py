@@ -110,6 +110,8 @@ class Net:
         self.bias, self.out, self.out_bias = self.bias.astype(np.float64), self.out.astype(np.float64), float(self.out_bias)
 
     def probability(self, logit: float) -> float:
+        if self.constant is not None:
+            return self.constant
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.scale * logit + self.shift))))
 
 
@@ -263,46 +265,55 @@ def thresholds_of(net: Net, counts: list[tuple]) -> dict:
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[Net, dict]:  # noqa: B008
-    """The network and the thresholds by language. The driver gets the bounded sample and counts by language, label and bin."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(bucket_remainder("doc_id", 5) != 0)
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1) of labelled documents that may be learned from."""
+    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(bucket_remainder("doc_id", 5) != 0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[Net, DataFrame]:  # noqa: B008
+    """The network, and the ids that it was fitted on. The driver gets the bounded sample."""
     order = F.xxhash64("doc_id", F.lit(s.seed))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.select("doc_id", "text", lang)
-    able = known.where(F.pmod(order, F.lit(s.held)) != 0)
+    able = known_labels(labels).where(F.pmod(order, F.lit(s.held)) != 0)
     chosen = [able.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, s.most_toxic), (0, s.most_clean))]
     sample = chosen[0].unionByName(chosen[1])
-    found = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("row"), F.min("toxic").alias("toxic"))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("row"), F.min("toxic").alias("toxic"))
     found = checkpointed(found.select("doc_id", "toxic", order.alias("o"), F.col("row.text").alias("text")))
     left, ids = s.most_bytes, []
     for r in sorted(found.select("doc_id", "o", F.octet_length("text").alias("n")).collect(), key=lambda r: (r["o"], r["doc_id"])):
         if r["n"] <= left:
             left -= r["n"]
             ids.append(r["doc_id"])
-    kind = found.schema["doc_id"].dataType.simpleString()
-    fitted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
+    fitted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {found.schema['doc_id'].dataType.simpleString()}")
     taken = found.join(F.broadcast(fitted), "doc_id").select("o", "doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
     net = fit(taken.column("text").to_pylist(), np.array(taken.column("toxic").to_pylist(), dtype=int), s)
     del taken
     release()
+    return net, fitted
+
+
+def calibrate(net: Net, scored: DataFrame, labels: DataFrame, fitted: DataFrame) -> dict:
+    """scored (doc_id, lang, toxic_logit): sets the net's scale and shift and gives the thresholds by language, from all labelled
+    rows that were not fitted. The driver gets counts by language, label and bin."""
     if net.constant is not None:
-        return net, {None: 0.5}
+        return {None: 0.5}
+    known = known_labels(labels)
     rest = known.join(F.broadcast(fitted), "doc_id", "left_anti")
-    scored = with_logit(rows.join(rest, "doc_id"), net)
-    bin_ = F.floor(F.greatest(F.lit(-LOGIT), F.least(F.lit(LOGIT), F.col("toxic_logit"))) * s.bins).cast("int").alias("bin")
-    counts = [tuple(r) for r in scored.groupBy("lang", "toxic", bin_).agg(F.count("*").alias("n")).collect()]
+    bin_ = F.floor(F.greatest(F.lit(-LOGIT), F.least(F.lit(LOGIT), F.col("toxic_logit"))) * net.s.bins).cast("int").alias("bin")
+    counts = [tuple(r) for r in scored.join(rest, "doc_id").groupBy("lang", "toxic", bin_).agg(F.count("*").alias("n")).collect()]
     y, n = np.array([c[1] for c in counts]), np.array([c[3] for c in counts], dtype=float)
     if len(set(y.tolist())) < 2:
-        return net, {None: 0.5}
+        return {None: 0.5}
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     weight = {v: total[v] / n[y == v].sum() for v in (0, 1)}  # fitted rows are missing, more of one label than of the other
     counts = [(*c[:3], c[3] * weight[c[1]]) for c in counts]
-    net.scale, net.shift = logistic(np.array([(c[2] + 0.5) / s.bins for c in counts]), y.astype(float), np.array([c[3] for c in counts]))
-    return net, {None: 0.5} | thresholds_of(net, counts)
+    net.scale, net.shift = logistic(np.array([(c[2] + 0.5) / net.s.bins for c in counts]), y.astype(float), np.array([c[3] for c in counts]))
+    return {None: 0.5} | thresholds_of(net, counts)
 
 
-def column_of(net: Net, value):
-    """An Arrow UDF over texts; ``value`` turns a logit into what is returned. The net's size is fixed (some 2 MB)."""
+def with_logit(docs: DataFrame, net: Net) -> DataFrame:
+    """docs with ``toxic_logit``. Only texts go to Python and only numbers come back; other columns stay in the JVM. The net's
+    size is fixed by its settings (some 2 MB)."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -310,38 +321,49 @@ def column_of(net: Net, value):
         for column in columns:
             texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
             if scorer is None:
-                yield pa.array([net.constant] * len(texts), pa.float64())
+                yield pa.array([0.0] * len(texts), pa.float64())
             else:
-                yield pa.array([value(z) for a, b in in_slices(texts, net.s.slice_bytes) for z in scorer.logits(texts[a:b]).tolist()], pa.float64())
+                yield pa.array(np.concatenate([*(scorer.logits(texts[a:b]) for a, b in in_slices(texts, net.s.slice_bytes)), np.zeros(0)]))
         del scorer
         release()
 
-    return run("text")
+    return docs.withColumn("toxic_logit", run("text"))
 
 
-def with_logit(docs: DataFrame, net: Net) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.withColumn("toxic_logit", column_of(net, float))
+def score(docs: DataFrame, net: Net) -> DataFrame:
+    """docs with ``toxic_score``."""
+    return with_score(with_logit(docs, net), net).drop("toxic_logit")
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
-    """docs with ``toxic_score``. Only texts go to Python and only scores come back; other columns stay in the JVM."""
-    small_batches(docs.sparkSession)
-    return docs.withColumn("toxic_score", column_of(net, net.probability))
+def with_score(scored: DataFrame, net: Net) -> DataFrame:
+    """The logistic curve over logits, worked out by the JVM's strict exponential, so it is the same everywhere."""
+    if net.constant is not None:
+        return scored.withColumn("toxic_score", F.lit(float(net.constant)))
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(net.scale) * F.col("toxic_logit") + F.lit(net.shift)))
+    return scored.withColumn("toxic_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+
+
+def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_text: bool = True) -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` with toxic_score, the language's toxic_threshold and ``rejected``. Each text is scored once: rows are
+    written with their logits (texts come back null unless ``keep_text``), then scale and thresholds follow from them."""
+    made = ("toxic_score", "toxic_threshold", "rejected")
 
+    def verdict(df: DataFrame) -> DataFrame:
+        net, fitted = learn(df, labels, s)
+        lang = F.col("lang") if "lang" in df.columns else F.lit(None).cast("string").alias("lang")
+        scored = with_logit(df, net)
+        scored = checkpointed(scored if keep_text else scored.withColumn("text", F.lit(None).cast("string")))
+        thresholds = calibrate(net, scored.select("doc_id", lang, "toxic_logit"), labels, fitted)
+        pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
+        own = F.lit(thresholds[None])
+        if pairs and "lang" in df.columns:
+            own = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit(""))), own)
+        return with_score(scored, net).withColumn("toxic_threshold", own).withColumn("rejected", F.col("toxic_score") >= F.col("toxic_threshold"))
 
-def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` with toxic_score, the language's toxic_threshold and ``rejected``."""
-    net, thresholds = learn(docs, labels, s)
-    pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
-    own = F.lit(thresholds[None])
-    if pairs and "lang" in docs.columns:
-        own = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit(""))), own)
-    verdict = lambda df: score(df, net).withColumn("toxic_threshold", own).withColumn("rejected", F.col("toxic_score") >= F.col("toxic_threshold"))
-    return carrying(docs, ("doc_id", "text", "lang"), ("toxic_score", "toxic_threshold", "rejected"), verdict)
+    return carrying(docs, ("doc_id", "text", "lang"), made, verdict)
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    scored = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnsRenamed({"toxic_score": "score", "toxic_threshold": "threshold"})
+    scored = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False).withColumnsRenamed({"toxic_score": "score", "toxic_threshold": "threshold"})
     return scored.select("doc_id", F.coalesce(bucket_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")

@@ -35,8 +35,11 @@ def test_whole_table(spark, sf, name):
 
 def test_pipeline_equals_a_plain_version(spark, sf):
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    net, limits = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    net, fitted = toxicity.learn(table, labels)
     scorer = toxicity.Scorer(net)
+    logits = spark.createDataFrame([(d["doc_id"], d["lang"], float(scorer.logits([d["text"].encode()])[0])) for d in docs], "doc_id long, lang string, toxic_logit double")
+    limits = toxicity.calibrate(net, logits, labels, fitted)
     docs = [d for d in docs if net.probability(scorer.logits([d["text"].encode()])[0]) < limits.get(d["lang"], limits[None])]
     sets = {d["doc_id"]: neardup.shingle_set(d["text"].encode(), 5) for d in docs}
     label = {k: k for k in sets}

@@ -144,7 +144,7 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     same = toxicity.judged(docs, labels, s).where("doc_id < 20").select("doc_id", "toxic_score").collect()
     assert {x["doc_id"]: x["toxic_score"] for x in got if x["doc_id"] < 20}.items() <= {x["doc_id"]: x["toxic_score"] for x in same}.items()
     net, _ = toxicity.learn(docs, labels, s)
-    assert all(0 <= x["toxic_score"] <= 1 for x in toxicity.score(odd.select("doc_id", "text"), net).collect())
+    assert net.scale == 1.0 and all(0 <= x["toxic_score"] <= 1 for x in toxicity.score(odd.select("doc_id", "text"), net).collect())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x["toxic_score"] for x in toxicity.judged(odd, none).collect()} == {0.0} and toxicity.judged(empty, none).count() == 0
 
@@ -161,7 +161,9 @@ def test_toxicity_scores_equal_plain_loops_in_any_batch(spark, sf):
     docs = docs_of(spark, some + [None], **{"toxic_score": 5, "a.b`c": 6, "rejected": 7})
     for n in (1, 3):
         got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs.select("doc_id", "text").repartition(n), net).collect()}
-        assert [got[i] for i in range(len(some))] == [net.probability(z) for z in together[len(texts) :]] and got[len(some)] == got[60]
+        assert [got[i] for i in range(len(some))] == pytest.approx([net.probability(z) for z in together[len(texts) :]], abs=1e-15) and got[len(some)] == got[60]
+        logits = {r["doc_id"]: r["toxic_logit"] for r in toxicity.with_logit(docs.select("doc_id", "text").repartition(n), net).collect()}
+        assert [logits[i] for i in range(len(some))] == together[len(texts) :]
     long = " ".join(texts)  # a text of many stretches
     step = max(scorer.tops([t.encode() for t in texts]).max(axis=0).max() for _ in (0,))
     assert scorer.tops([long.encode()]).max() >= step
@@ -172,7 +174,9 @@ def test_toxicity_scores_equal_plain_loops_in_any_batch(spark, sf):
 
 def test_toxicity_calibrates_on_all_rows_that_were_not_fitted(spark):
     docs, labels = toxic_docs(spark, 900)
-    net, thresholds = toxicity.learn(docs, labels, toxicity.Settings(epochs=3, most_toxic=40, most_clean=60))
+    net, fitted = toxicity.learn(docs, labels, toxicity.Settings(epochs=3, most_toxic=40, most_clean=60))
+    assert fitted.count() == 100
+    thresholds = toxicity.calibrate(net, toxicity.with_logit(docs, net).select("doc_id", "lang", "toxic_logit"), labels, fitted)
     assert set(thresholds) == {None, "en"} and 0.3 <= thresholds["en"] <= 0.8
     z, y = np.linspace(-4, 4, 200), (np.linspace(-4, 4, 200) > 0.5).astype(float)
     scale, shift = toxicity.logistic(z, y, np.ones(200))
