@@ -65,3 +65,28 @@ def compactness(points: DataFrame, by: list[str], order: list[str]) -> DataFrame
 
 def shard_bytes(packs: DataFrame, cap: int) -> DataFrame:
     return packs.groupBy("shard").agg(F.count("*").alias("cells"), F.sum("bytes").alias("bytes")).withColumn("over_cap", F.col("bytes") > cap)
+
+
+def flag_counts(calls: DataFrame, kinds: tuple) -> DataFrame:
+    """calls (flags array<string>) -> kind, calls: how many have a flag that starts with the kind, 0 too; notes are no flags."""
+    real = F.filter("flags", lambda x: ~F.startswith(x, F.lit("note:")))
+    has = lambda k: F.count_if(F.exists(real, lambda x: F.startswith(x, F.lit(k))))
+    wide = calls.agg(F.count_if(F.size(real) > 0).alias("flagged"), *[has(k).alias(f"n{i}") for i, k in enumerate(kinds)])
+    rows = F.array(F.struct(F.lit("flagged").alias("kind"), F.col("flagged").alias("calls")), *[F.struct(F.lit(k).alias("kind"), F.col(f"n{i}").alias("calls")) for i, k in enumerate(kinds)])
+    return wide.select(F.explode(rows).alias("x")).select("x.kind", "x.calls")
+
+
+def class_metres(arcs: DataFrame, by: list[str]) -> DataFrame:
+    """arcs (by..., class, length_m) -> metres of each class and its share of all metres of its group."""
+    sums = arcs.groupBy(*by, "class").agg(F.sum("length_m").alias("length_m"))
+    return sums.withColumn("share", F.col("length_m") / F.sum("length_m").over(Window.partitionBy(*by)))
+
+
+def length_violations(routes: DataFrame, parts: DataFrame, within_m: float = 1.0) -> DataFrame:
+    """routes (route, length_m, new_m), parts (route, kind, length_m, new_m) -> metres by kind of part, and the routes whose own
+    sums differ from their parts' by more than a bound, or that claim more new metres than they have."""
+    kinds = ("street", "offroad", "straight")
+    of = parts.groupBy("route").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("length_m"))), F.lit(0.0)).alias(f"{k}_m") for k in kinds], F.sum("length_m").alias("parts_m"), F.sum("new_m").alias("parts_new_m"))
+    out = routes.join(of, "route", "left")
+    wrong = F.coalesce((F.abs(F.col("length_m") - F.col("parts_m")) > within_m) | (F.abs(F.col("new_m") - F.col("parts_new_m")) > within_m), F.lit(True)) | (F.col("new_m") > F.col("length_m") + within_m)
+    return out.select("route", *[F.coalesce(f"{k}_m", F.lit(0.0)).alias(f"{k}_m") for k in kinds], wrong.alias("violation"))

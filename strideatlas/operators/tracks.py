@@ -77,7 +77,7 @@ def merge_into_days(points: DataFrame, existing: DataFrame, max_accuracy: float
     day = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_millis(c), tz))
     good = points.where((F.col("acc").isNull() | (F.col("acc") <= max_accuracy)) & F.col("t_ms").isNotNull() & geo.is_finite_lon_lat("lon", "lat"))
     new = good.select(day("t_ms").alias("day"), "t_ms", "lon", "lat", F.lit(1).alias("is_new"), "arrival")
-    old = existing.select("day", "t_ms", "lon", "lat", F.lit(0).alias("is_new"), F.lit(0).cast("long").alias("arrival"))
+    old = existing.select("day", "t_ms", "lon", "lat", F.lit(0).alias("is_new"), F.lit(None).cast(new.schema["arrival"].dataType).alias("arrival"))
     first = F.row_number().over(Window.partitionBy("day", "t_ms").orderBy("is_new", "arrival"))
     merged = old.unionByName(new).withColumn("nth", first).where("nth = 1")
     grown = F.max("is_new").over(Window.partitionBy("day"))

@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapter import FIXES_SQL, fixes
-from ..functions import geo
+from ..functions import geo, tags
 from ..operators import grid, network, prefetch, reports, tiles, tracks
 from ..sources import backup, importer, overpass, receiver
 from ..streaming import session
+from . import store
 from .explore import R3, cell, dist, wx, wy
+from .network import WAY_POINTS_SQL, ways
 
 TILE_X = "CAST(floor((lon + 180e0) / 360e0 * 4096e0) AS BIGINT)"
 TILE_Y = "CAST(floor((1e0 - ln(tan(lat * 3.141592653589793e0 / 180e0) + 1e0 / cos(lat * 3.141592653589793e0 / 180e0)) / 3.141592653589793e0) / 2e0 * 4096e0) AS BIGINT)"
@@ -173,6 +175,109 @@ def file_kinds(spark, d):
 FILE_KINDS = f"SELECT ['zip', 'gpx', 'json', CASE WHEN regexp_matches('a1b2jlti', '^[0-9a-fA-F]{{4}}[olhwjsktri]+[eizxdwknmo]{{1,2}}$') THEN 'tile' ELSE 'unknown' END, 'gpx', 'json', 'unknown'][fix_id % 7 + 1] AS kind, count(*) AS files FROM ({FIXES_SQL}) GROUP BY 1"
 
 
+def novelty_of_arcs(spark, d):
+    """Steps of up to 500 m of the network's ways as arcs, against the cells of some devices' fixes; every ninth is glue."""
+    f = fixes(spark, d)
+    points = ways(spark, d).select("way_id", F.posexplode("coords").alias("pos", "p")).select("way_id", "pos", "p.lon", "p.lat")
+    steps = tracks.with_previous(points.withColumn("t_ms", F.lit(None).cast("long")), ["way_id"], ["pos"]).where("d <= 500")
+    line = F.array(F.struct(F.col("plon").alias("lon"), F.col("plat").alias("lat")), F.struct("lon", "lat"))
+    arcs = steps.select((F.col("way_id") * 10 + F.col("pos")).alias("arc"), line.alias("points")).withColumn("flags", F.when(F.col("arc") % 9 == 0, tags.GLUE).otherwise(0))
+    seen = f.where("device < 60").select(geo.clamp_cell(geo.world_x("lon")).alias("cx"), geo.clamp_cell(geo.world_y("lat")).alias("cy")).distinct()
+    out = network.arc_novelty(arcs, seen)
+    return out.select("arc", "samples", tracks.round3(F.col("novelty")).alias("novelty"))
+
+
+NOVELTY_OF_ARCS = f"""WITH w AS ({WAY_POINTS_SQL}), s AS (SELECT way_id * 10 + pos AS arc, lon, lat, lag(lon) OVER v AS plon, lag(lat) OVER v AS plat, lag(pos) OVER v AS before FROM w WINDOW v AS (PARTITION BY way_id ORDER BY pos)),
+a AS (SELECT *, {dist("plon", "plat", "lon", "lat")} AS m FROM s WHERE before IS NOT NULL), b AS (SELECT arc, greatest(1, CAST(ceil(m / 6e0) AS BIGINT)) AS n, {wx("plon")} AS x0, {wy("plat")} AS y0, {wx("lon")} AS x1, {wy("lat")} AS y1 FROM a WHERE m <= 500),
+k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM b), c AS (SELECT arc, {cell("x0 + (x1 - x0) * k / n")} AS cx, {cell("y0 + (y1 - y0) * k / n")} AS cy FROM k),
+seen AS (SELECT DISTINCT {cell(wx("lon"))} AS cx, {cell(wy("lat"))} AS cy FROM ({FIXES_SQL}) WHERE device < 60),
+near AS (SELECT DISTINCT cx + x AS cx, cy + y AS cy FROM seen, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y))
+SELECT c.arc, count(*) AS samples, CASE WHEN c.arc % 9 = 0 THEN 0e0 ELSE {R3.format("CAST(count(*) FILTER (n.cx IS NULL) AS DOUBLE) / count(*)")} END AS novelty
+FROM c LEFT JOIN near n ON n.cx = c.cx AND n.cy = c.cy GROUP BY c.arc"""
+
+
+def metres_by_class(spark, d):
+    f = fixes(spark, d).select((F.col("device") % 12).alias("name"), (F.col("fix_id") % 5).alias("class"), (F.col("acc") + 1).cast("double").alias("length_m"))
+    return reports.class_metres(f, ["name"]).select("name", "class", "length_m", tracks.round3(F.col("share")).alias("share"))
+
+
+METRES_BY_CLASS = f"""WITH s AS (SELECT device % 12 AS name, fix_id % 5 AS class, CAST(sum(acc + 1) AS DOUBLE) AS length_m FROM ({FIXES_SQL}) GROUP BY ALL)
+SELECT name, class, length_m, {R3.format("length_m / sum(length_m) OVER (PARTITION BY name)")} AS share FROM s"""
+
+FLAGS = ("empty", "collapsed", "over-budget", "slow")
+
+
+def flags_of_calls(spark, d):
+    n = F.col("fix_id")
+    flag = F.array_compact(F.array(F.when(n % 7 == 0, "empty"), F.when(n % 11 == 0, F.concat(F.lit("slow "), n.cast("string"))), F.when(n % 5 == 0, "note: slow"), F.when(n % 13 == 0, "over-budget 12 m"), F.when(n % 14 == 0, "empty again")))
+    return reports.flag_counts(fixes(spark, d).select(flag.alias("flags")), FLAGS)
+
+
+FLAGS_OF_CALLS = f"""WITH f AS ({FIXES_SQL}) SELECT 'flagged' AS kind, count(*) FILTER (fix_id % 7 = 0 OR fix_id % 11 = 0 OR fix_id % 13 = 0) AS calls FROM f UNION ALL SELECT 'empty', count(*) FILTER (fix_id % 7 = 0) FROM f
+UNION ALL SELECT 'collapsed', CAST(0 AS BIGINT) UNION ALL SELECT 'over-budget', count(*) FILTER (fix_id % 13 = 0) FROM f UNION ALL SELECT 'slow', count(*) FILTER (fix_id % 11 = 0) FROM f"""
+
+
+def violations(spark, d):
+    """Routes of devices: claimed sums of some differ from what their parts add up to."""
+    f = fixes(spark, d)
+    kind = F.element_at(F.array(F.lit("street"), F.lit("offroad"), F.lit("straight")), (F.col("fix_id") % 3 + 1).cast("int"))
+    parts = f.select(F.col("device").alias("route"), kind.alias("kind"), (F.col("acc") + 1).cast("double").alias("length_m"), F.col("acc").cast("double").alias("new_m"))
+    routes = parts.groupBy("route").agg((F.sum("length_m") + F.when(F.col("route") % 10 == 0, 2.0).otherwise(0.5)).alias("length_m"), (F.sum("new_m") - F.when(F.col("route") % 15 == 0, 9.0).otherwise(0.0)).alias("new_m"))
+    return reports.length_violations(routes, parts)
+
+
+VIOLATIONS = f"""SELECT device AS route, CAST(coalesce(sum(acc + 1) FILTER (fix_id % 3 = 0), 0) AS DOUBLE) AS street_m, CAST(coalesce(sum(acc + 1) FILTER (fix_id % 3 = 1), 0) AS DOUBLE) AS offroad_m, CAST(coalesce(sum(acc + 1) FILTER (fix_id % 3 = 2), 0) AS DOUBLE) AS straight_m,
+device % 10 = 0 OR device % 15 = 0 AS violation FROM ({FIXES_SQL}) GROUP BY device"""
+
+
+def cells_of_sessions(spark, d):
+    """Sessions of a device and day, in a zone where the day changes within the fixes; new cells against other devices' grid."""
+    f = fixes(spark, d).withColumn("t_ms", F.col("t_ms") * 7 - 6 * 1704067200000)
+    at = lambda df: df.withColumn("cx", geo.clamp_cell(geo.world_x("lon"))).withColumn("cy", geo.clamp_cell(geo.world_y("lat")))
+    rolled = session.rolled_over(at(f.where("device % 3 = 0")), "America/New_York")
+    return session.new_cells(rolled, at(f.where("device % 3 = 1")))
+
+
+CELLS_OF_SESSIONS = f"""WITH f AS (SELECT device, epoch_ms(t_ms * 7 - 6 * 1704067200000) AS t, {cell(wx("lon"))} AS cx, {cell(wy("lat"))} AS cy FROM ({FIXES_SQL})),
+s AS (SELECT DISTINCT device || '-' || strftime(t - INTERVAL 5 HOUR, '%Y%m%d') AS session_id, cx, cy FROM f WHERE device % 3 = 0), g AS (SELECT DISTINCT cx, cy FROM f WHERE device % 3 = 1)
+SELECT session_id, count(*) AS cells, count(*) FILTER (g.cx IS NULL) AS new_cells FROM s LEFT JOIN g ON g.cx = s.cx AND g.cy = s.cy GROUP BY session_id"""
+
+
+def chunk_deleted(spark, d):
+    f = fixes(spark, d).select(F.lpad(F.col("t_ms").cast("string"), 13, "0").alias("key"), "device")
+    left, report = receiver.delete_chunk(f)
+    return left.agg(F.count("*").alias("left"), F.min("key").alias("first")).crossJoin(report)  # one row each
+
+
+CHUNK_DELETED = f"""WITH k AS (SELECT CAST(t_ms AS VARCHAR) AS key, row_number() OVER (ORDER BY t_ms) AS n FROM ({FIXES_SQL})) SELECT count(*) FILTER (n > {receiver.DELETE_CHUNK}) AS "left", min(key) FILTER (n > {receiver.DELETE_CHUNK}) AS first,
+CAST(least({receiver.DELETE_CHUNK}, count(*)) AS BIGINT) AS deleted, count(*) > {receiver.DELETE_CHUNK} AS more FROM k"""
+
+
+def files_verified(spark, d):
+    """Contents and sums: every seventh sum is of something else, every fifth unknown; some files are missing."""
+    f = fixes(spark, d).select(F.col("fix_id").cast("string").alias("file"), F.concat(F.lit("extract "), F.col("t_ms").cast("string")).alias("text"), "fix_id")
+    sums = f.where("fix_id % 5 <> 0").select("file", F.upper(F.md5(F.when(F.col("fix_id") % 7 == 0, F.lit("other")).otherwise(F.col("text")))).alias("md5"))
+    out = store.verified(f.where("fix_id % 17 <> 0").select("file", F.col("text").cast("binary").alias("content")), sums)
+    return out.select("file", F.coalesce("md5", F.lit("-")).alias("md5"), F.coalesce(F.col("verified").cast("string"), F.lit("unknown")).alias("verified"))
+
+
+FILES_VERIFIED = f"""WITH f AS (SELECT CAST(fix_id AS VARCHAR) AS file, 'extract ' || t_ms AS text, fix_id FROM ({FIXES_SQL}))
+SELECT file, CASE WHEN fix_id % 17 <> 0 THEN md5(text) ELSE '-' END AS md5, CASE WHEN fix_id % 5 = 0 THEN 'unknown' WHEN fix_id % 17 = 0 OR fix_id % 7 = 0 THEN 'false' ELSE 'true' END AS verified
+FROM f WHERE fix_id % 5 <> 0 OR fix_id % 17 <> 0"""
+
+
+def extracts_stale(spark, d):
+    """Plans of cells by device against the state of an earlier run, which lacks some extracts and has old hashes of others."""
+    f = fixes(spark, d).select(F.concat(F.lit("e"), F.col("device").cast("string")).alias("extract"), "device", F.col("fix_id").alias("cell"), F.col("acc").alias("tiles"))
+    plan = f.select("extract", "cell", "tiles")
+    before = store.stale(plan.where("extract <> 'e3'"), spark.createDataFrame([], "extract string, input_hash string"))
+    state = before.withColumn("input_hash", F.when(F.substring("extract", -1, 1) == "7", F.lit("old")).otherwise(F.col("input_hash")))
+    return store.stale(plan, state).select("extract", "input_hash")
+
+
+EXTRACTS_STALE = f"""WITH f AS (SELECT 'e' || device AS extract, fix_id || '|' || acc AS line FROM ({FIXES_SQL})), h AS (SELECT extract, sha1(string_agg(line, ';' ORDER BY line)) AS input_hash FROM f GROUP BY extract)
+SELECT extract, input_hash FROM h WHERE extract = 'e3' OR extract LIKE '%7'"""
+
 PLANS = {
     "resolved_ways": (resolved_ways, RESOLVED_WAYS),
     "border_ways": (border_ways, BORDER_WAYS),
@@ -188,4 +293,12 @@ PLANS = {
     "backup_restore": (restored, RESTORED),
     "map_server_ways": (server_ways, SERVER_WAYS),
     "file_kinds": (file_kinds, FILE_KINDS),
+    "arc_novelty": (novelty_of_arcs, NOVELTY_OF_ARCS),
+    "class_metres": (metres_by_class, METRES_BY_CLASS),
+    "flag_counts": (flags_of_calls, FLAGS_OF_CALLS),
+    "length_violations": (violations, VIOLATIONS),
+    "session_new_cells": (cells_of_sessions, CELLS_OF_SESSIONS),
+    "deleted_chunk": (chunk_deleted, CHUNK_DELETED),
+    "verified_files": (files_verified, FILES_VERIFIED),
+    "stale_extracts": (extracts_stale, EXTRACTS_STALE),
 }

@@ -37,6 +37,10 @@ def compact(posts: DataFrame, body: str = "body") -> DataFrame:
     return out.withColumn("device", F.coalesce(F.substring(F.get(devices, 0), 1, 64), F.lit(""))).drop("l")
 
 
+#: Fixed value: keys that one call deletes.
+DELETE_CHUNK = 40
+
+
 def pull(batches: DataFrame, since: str = "", limit: int = PAGE) -> DataFrame:
     """Batches after the cursor, oldest first, and ``has_more``: whether others follow the page."""
     from pyspark.sql import Window
@@ -51,6 +55,13 @@ def status(batches: DataFrame) -> DataFrame:
     return batches.agg(F.count("*").alias("batches"), F.max("key").alias("last_key"), F.max("received").alias("last_received"))
 
 
+def delete_chunk(batches: DataFrame, most: int = DELETE_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(what stays, deleted and more): one call deletes the oldest ``most`` keys; the caller goes on while ``more``."""
+    oldest = batches.select("key").distinct().orderBy("key").limit(most)  # a chunk at most
+    left = batches.join(F.broadcast(oldest), "key", "left_anti")
+    return left, oldest.agg(F.count("*").alias("deleted")).crossJoin(left.limit(1).agg((F.count("*") > 0).alias("more")))  # one row each
+
+
 def expired(batches: DataFrame, now_ms: int) -> DataFrame:
     """What is still kept."""
     return batches.where(F.col("received") >= now_ms - KEEP_DAYS * 86_400_000)
@@ -77,12 +88,26 @@ class ReceiverReader(DataSourceStreamReader):
         table = ds.dataset(self.path).to_table(columns=["key"], filter=wanted if upto is None else wanted & (ds.field("key") <= upto))
         return sorted(set(table.column("key").to_pylist()))
 
+    def last_key(self) -> str:
+        """The log's last key, by the files' statistics; only a file without them is read."""
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        last = self.since
+        for fragment in ds.dataset(self.path).get_fragments():
+            groups = [g.statistics.get("key") if g.statistics else None for g in fragment.row_groups]
+            if all(g and g.get("max") is not None for g in groups):
+                found = max((g["max"] for g in groups), default="")
+            else:
+                found = pc.max(fragment.to_table(columns=["key"]).column("key")).as_py() or ""
+            last = max(last, found)
+        return last
+
     def initialOffset(self) -> dict:  # noqa: N802
         return {"key": self.since}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        found = self.keys(self.since)
-        return {"key": found[-1] if found else self.since}
+        return {"key": self.last_key()}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
         found = self.keys(start["key"], end["key"])
@@ -112,4 +137,4 @@ class ReceiverSource(DataSource):
         return ReceiverReader(dict(self.options))
 
 
-__all__ = ["BATCH", "ReceiverSource", "compact", "expired", "iso_ms", "pull", "status", "time_ms"]
+__all__ = ["BATCH", "ReceiverSource", "compact", "delete_chunk", "expired", "iso_ms", "pull", "status", "time_ms"]

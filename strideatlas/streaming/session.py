@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.points import metres
@@ -66,8 +67,38 @@ def accepted_stream(fixes: DataFrame) -> DataFrame:
 
 def pending(sessions: DataFrame, most: int = PENDING) -> DataFrame:
     """Unfinished sessions that are offered again: the latest of each id, the newest eight."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("session_id").orderBy(F.desc("saved_ms"))
     return sessions.where("NOT finished").withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth").orderBy(F.desc("start_ms"), "session_id").limit(most)
+
+
+def rolled_over(fixes: DataFrame, tz: str = "UTC") -> DataFrame:
+    """fixes with session_id: a device's session ends with the local day and with each launch (``launch``, if there is one)."""
+    day = F.date_format(F.from_utc_timestamp(F.timestamp_millis("t_ms"), tz), "yyyyMMdd")
+    return fixes.withColumn("session_id", F.concat_ws("-", F.col("device").cast("string"), day, *(["launch"] if "launch" in fixes.columns else [])))
+
+
+def new_cells(cells: DataFrame, visited: DataFrame, by: str = "session_id") -> DataFrame:
+    """cells (session_id, cx, cy), visited (cx, cy): how many cells each session touched, and how many of them the grid did not
+    have before it. Each cell counts once for a session."""
+    own = cells.select(by, "cx", "cy").distinct()
+    known = visited.select("cx", "cy").distinct().withColumn("known", F.lit(1))
+    return own.join(known, ["cx", "cy"], "left").groupBy(by).agg(F.count("*").alias("cells"), F.count_if(F.col("known").isNull()).alias("new_cells"))
+
+
+def checkpoint_sessions(accepted_fixes: DataFrame, store, checkpoint: str, source: str = "session"):
+    """Stream of accepted fixes (session_id, t_ms, lon, lat) -> the grid: each micro-batch marks its sessions again as a whole,
+    under their own ids, so cells count once for a session however often it is marked, and a batch that comes twice changes
+    nothing. Sessions of fewer than two points are not kept. Returns the running query."""
+
+    def mark(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        new = batch.select(F.col("session_id").alias("track_id"), F.struct("lon", "lat", "t_ms").alias("p"))
+        old = store.latest_tracks().join(new.select("track_id").distinct(), "track_id", "left_semi").select("track_id", F.explode("points").alias("p"))
+        points = new.unionByName(old.select("track_id", F.struct("p.lon", "p.lat", "p.t_ms").alias("p"))).distinct()
+        whole = points.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("p.t_ms", "p.lon", "p.lat"))).alias("q")).where("size(q) >= 2")
+        line = F.transform("q", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), x["t_ms"].alias("t_ms")))
+        marked = whole.select("track_id", F.lit(source).alias("source"), F.concat(F.lit("Session "), "track_id").alias("name"), line.alias("points"))
+        store.apply(batch_id, marked, source=source)
+
+    return accepted_fixes.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

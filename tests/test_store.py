@@ -3,7 +3,9 @@ import json
 from pyspark.sql import functions as F
 
 from strideatlas.operators import prefetch
-from strideatlas.plans.store import GridStore
+import pytest
+
+from strideatlas.plans.store import Areas, GridStore
 from strideatlas.sources import geocode
 
 TRACK = "track_id string, source string, name string, points array<struct<lon:double,lat:double,t_ms:bigint>>"
@@ -42,3 +44,31 @@ def test_places_are_shaped_and_distinct(spark):
     doc = {"features": [f(name="Park", city="NYC", state="NY", country="US", county="Kings"), f(name="Park", city="NYC", state="NY", country="US", county="Kings"), f(street="Main St", housenumber="5", city="NYC"), f(country="US", osm_value="country")]}
     got = geocode.places(spark.createDataFrame([(1, json.dumps(doc))], "id int, json string")).orderBy("place").collect()
     assert [(r["name"], r["locality"]) for r in got] == [("Park", "NYC, Kings, NY"), ("Main St 5", "NYC"), ("US", "")] and got[2]["kind"] == "country" and got[0]["lon"] == 1.5
+
+
+def test_a_change_that_failed_half_way_has_not_happened(spark, tmp_path):
+    store = GridStore(spark, str(tmp_path / "grid"))
+    line = [{"lon": -73.95 + i * 1e-5, "lat": 40.7, "t_ms": 1000 * i} for i in range(20)]
+    track = spark.createDataFrame([("a", "gpx", "A", line)], TRACK)
+    real = store.commit
+    store.commit = lambda seq, at_ms: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        store.apply(1, track)
+    store.commit = real
+    assert store.statistics()["visited_cells"] == 0 and store.list_tracks().count() == 0 and store.imports().count() == 0
+    done = store.apply(2, track)
+    assert done["version"] == 1 and done["visited_cells"] > 0 and done["visits"] == done["visited_cells"] and store.imports().count() == 1
+
+
+def test_areas_are_stored_listed_and_deleted(spark, tmp_path):
+    areas = Areas(spark, str(tmp_path / "areas"))
+    assert areas.list().count() == 0
+    tiles = spark.createDataFrame([(x, y, bytes(10)) for x in range(1200, 1215) for y in range(1530, 1550)], "tx int, ty int, bytes binary")
+    one = areas.store("home", -73.95, 40.7, 4.0, tiles, 1).collect()
+    two = {r["area_id"]: r for r in areas.store("far", -74.2, 40.7, 8.0, tiles, 2).collect()}
+    assert len(one) == 1 and set(two) == {"home", "far"} and two["far"]["tiles"] > two["home"]["tiles"] == one[0]["tiles"] > 0 and two["home"]["bytes"] == 10 * two["home"]["tiles"]
+    again = {r["area_id"]: r for r in areas.store("home", -73.95, 40.7, 1.0, tiles, 3).collect()}
+    assert again["home"]["at_ms"] == 3 and again["home"]["tiles"] <= one[0]["tiles"] and again["far"]["tiles"] == two["far"]["tiles"]
+    assert [r["area_id"] for r in areas.delete("home").collect()] == ["far"]
+    with pytest.raises(ValueError, match="radius"):
+        areas.store("wide", 0.0, 0.0, 9.0, tiles, 4)

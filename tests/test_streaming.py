@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from strideatlas.adapter import fixes
+from strideatlas.plans.store import GridStore
 from strideatlas.sources import receiver
 from strideatlas.streaming import ingest, session
 
@@ -26,10 +27,10 @@ def test_filter_cases():
 def test_day_tracks_take_late_points_and_keep_the_first(spark, tmp_path):
     points = lambda rows: spark.createDataFrame(rows, "arrival long, t_ms long, lon double, lat double, acc double")
     path = str(tmp_path / "days")
-    ingest.upsert_days(spark, points([(1, 1000, 1.0, 1.0, None), (2, 90_000_000, 2.0, 2.0, 10.0), (3, 2000, 9.0, 9.0, 90.0)]), path, 0)
+    ingest.upsert_days(spark, points([(1, 1000, 1.0, 1.0, None), (2, 90_000_000, 2.0, 2.0, 10.0), (3, 2000, 9.0, 9.0, 90.0)]), path)
     late = points([(4, 1500, 3.0, 3.0, None), (5, 1000, 8.0, 8.0, None)])
     for k in (1, 2):  # the same page twice
-        ingest.upsert_days(spark, late, path, k)
+        ingest.upsert_days(spark, late, path)
     got = sorted((r["t_ms"], r["lon"]) for r in spark.read.parquet(path).collect())
     assert got == [(1000, 1.0), (1500, 3.0), (90_000_000, 2.0)]
 
@@ -46,3 +47,28 @@ def test_receiver_pages(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["key"] for r in spark.table("pages").collect()) == [r[0] for r in rows]
+
+
+def test_session_checkpoints_mark_a_session_once(spark, tmp_path):
+    schema = "session_id string, t_ms long, lon double, lat double"
+    rows = [("s1", i * 1000, -73.95 + i * 1e-5, 40.7) for i in range(30)] + [("s2", 5, -73.9, 40.7)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 10 : k * 10 + 10] + (rows[30:] if k == 2 else []), schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    whole = GridStore(spark, str(tmp_path / "whole"))
+    line = [{"lon": x, "lat": y, "t_ms": t} for _, t, x, y in rows[:30]]
+    want = whole.apply(1, spark.createDataFrame([("s1", "session", "Session s1", line)], "track_id string, source string, name string, points array<struct<lon:double,lat:double,t_ms:bigint>>"))
+    store = GridStore(spark, str(tmp_path / "grid"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    session.checkpoint_sessions(stream, store, str(tmp_path / "c")).awaitTermination(180)
+    got = store.statistics()
+    assert (got["visited_cells"], got["visits"]) == (want["visited_cells"], want["visits"]) and got["version"] == 3
+    assert [(r["track_id"], r["points"]) for r in store.list_tracks().collect()] == [("s1", 30)]
+
+
+def test_last_key_comes_from_statistics(spark, tmp_path):
+    rows = [(f"{1_700_000_000_000 + i:013d}-{i:05d}", i, "d", []) for i in range(50)]
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows[:30], receiver.BATCH).coalesce(1).write.parquet(path)
+    spark.createDataFrame(rows[30:], receiver.BATCH).coalesce(2).write.mode("append").parquet(path)
+    assert receiver.ReceiverReader({"path": path}).latestOffset() == {"key": rows[-1][0]}
+    assert receiver.ReceiverReader({"path": path, "since": "9"}).latestOffset() == {"key": "9"}
