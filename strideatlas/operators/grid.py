@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,21 +77,34 @@ def fold_imports(imports: DataFrame, within_ms: int = 10 * 60_000) -> DataFrame:
     """Chunks of one import (source, file_name) that follow within ten minutes of their record's first are one record:
     items add up, the last note stays. imports (seq, at_ms, source, file_name, items, note); a chunk's note starts 'part '.
 
-    Whether a record starts depends on where the one before it did, so each log is folded in order; a log is what one
-    user's imports of one file left, which is small."""
-    entry = F.struct("seq", "at_ms", "items", "note")
-    logs = imports.groupBy("source", "file_name").agg(F.array_sort(F.collect_list(entry)).alias("log"))
-
-    def fold(records, x):
-        goes_on = (F.size(records) > 0) & F.coalesce(F.startswith(x["note"], F.lit("part ")), F.lit(False)) & (x["at_ms"] - F.try_element_at(records, F.lit(-1))["at_ms"] < within_ms)
-        fresh = F.struct(x["at_ms"].alias("at_ms"), x["items"].alias("items"), x["note"].alias("note"))
-        old = F.try_element_at(records, F.lit(-1))
-        joined = F.struct(old["at_ms"].alias("at_ms"), (old["items"] + x["items"]).alias("items"), x["note"].alias("note"))
-        return F.when(goes_on, F.concat(F.slice(records, F.lit(1), F.size(records) - 1), F.array(joined))).otherwise(F.concat(records, F.array(fresh)))
-
-    none = F.array().cast("array<struct<at_ms:bigint,items:bigint,note:string>>")
-    out = logs.withColumn("records", F.aggregate("log", none, fold))
-    return out.select("source", "file_name", F.posexplode("records").alias("at", "r")).select("source", "file_name", (F.col("at") + 1).cast("long").alias("record"), "r.at_ms", "r.items", "r.note")
+    Whether a record starts depends on where the one before it did, so a log is read in order, row by row; a task holds one
+    open record, whatever a log's length."""
+    ordered = imports.select("seq", "at_ms", "source", "file_name", "items", "note").repartition("source", "file_name").sortWithinPartitions("source", "file_name", "seq", "at_ms", "items", "note")
+
+    def run(batches):
+        log, open_ = None, None
+        for batch in batches:
+            out = []
+            for _, at, source, name, items, note in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if log != (source, name):
+                    out += [open_] if open_ else []
+                    log, open_ = (source, name), None
+                if open_ and (note or "").startswith("part ") and at - open_[3] < within_ms:
+                    open_ = (*open_[:4], open_[4] + items, note)
+                else:
+                    out += [open_] if open_ else []
+                    open_ = (source, name, open_[2] + 1 if open_ else 1, at, items, note)
+            if out:
+                yield records_of(out)
+        if open_:
+            yield records_of([open_])
+
+    return ordered.mapInArrow(run, "source string, file_name string, record long, at_ms long, items long, note string")
+
+
+def records_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["source", "file_name", "record", "at_ms", "items", "note"])
 
 
 def lookup(cells: DataFrame, counts: DataFrame) -> DataFrame:
