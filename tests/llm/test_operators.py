@@ -458,6 +458,68 @@ def test_link_graph_goes_on_until_scores_settle(spark):
         assert got[i]["verdict"] == "block" and abs(got[i]["distrust"] / s.unit - 0.17 * b) < 0.01 * limit
 
 
+def plain_link_graph(pages, s):
+    """host -> (trust, distrust) by loops over links, round by round, with the same whole numbers and the same end."""
+    import re
+
+    rows = []
+    for _, url, html in pages:
+        host = url.split("://", 1)[1].split("/")[0].lower() if url and "://" in url else ""
+        path = "/" + url.split("://", 1)[1].split("/", 1)[1] if url and url.count("/") > 2 else ""
+        fits = [(len(h + p), v) for v, h, p in s.rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rows.append((host, max(fits)[1] if fits else None, {x.lower() for x in re.findall(r"//([^/\"]+)/", html or "")}))
+    links = {(h, x) for h, _, named in rows for x in named if h and x != h}
+    start = {}
+    for kind, verdict in (("trust", "allow"), ("distrust", "block")):
+        for host in {h for h, _, _ in rows if h}:
+            own = [v for h, v, _ in rows if h == host]
+            seed = s.unit * own.count(verdict) // len(own)
+            if seed:
+                start[kind, host] = seed * (100 - s.damping) // 100
+    edges = {}
+    for a, b in links:
+        edges.setdefault(("trust", a), []).append(b)
+        edges.setdefault(("distrust", b), []).append(a)
+    scores, n = dict(start), 0
+    while True:
+        before = dict(scores)
+        for _ in range(s.checkpoint_every):
+            new = dict(start)
+            for key, to in edges.items():
+                for host in to:
+                    if key in scores:
+                        new[key[0], host] = new.get((key[0], host), 0) + scores[key] * s.damping // 100 // len(to)
+            scores, n = new, n + 1
+        if not edges or max((v - before.get(k, 0) for k, v in scores.items()), default=0) <= linkgraph.limit_of(s) // s.settled:
+            return rows, scores, n
+
+
+def test_links_decide_most_verdicts_of_generated_pages(spark):
+    r = random.Random(17)
+    hosts = [f"h{i}.io" for i in range(40)] + [f"b{i}.net" for i in range(4)] + ["www.example.net", "a.org", "hub.io"]
+    chain = [f"c{i}.io" for i in range(12)]
+    pages, k = [], 0
+    for h in [*hosts, *chain]:
+        for _ in range(r.randint(1, 3) + 40 * (h == "hub.io")):
+            named = r.sample(hosts, r.randint(0, 3)) + (["b0.net"] if r.random() < 0.3 else [])
+            if h in chain:
+                named = [chain[(chain.index(h) + 1) % len(chain)]] + (["b1.net"] if h == "c0.io" else [])  # a long cycle round a blocked seed
+            pages.append((k, f"https://{h}/{r.choice(['en', 'fr', 'de'])}/{k}", "".join(f'<a href="https://{x}/y">' for x in named)))
+            k += 1
+    pages += pages[:2] + [(None, None, None), (k, "https://h1.io/", None)]
+    s = linkgraph.Settings()
+    rows, scores, rounds = plain_link_graph(pages, s)
+    assert rounds > 8
+    want = []
+    for (i, _, _), (host, own, _) in zip(pages, rows):
+        trust, distrust = scores.get(("trust", host), 0), scores.get(("distrust", host), 0)
+        want.append((i, host, own or ("block" if distrust - trust >= linkgraph.limit_of(s) else "allow"), trust, distrust))
+    got = [(x["page_id"], x["host"], x["verdict"], x["trust"], x["distrust"]) for x in linkgraph.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), s).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    free = [v for (_, own, _), (_, _, v, *_) in zip(rows, want) if own is None]
+    assert len(free) > len(pages) / 2 and free.count("block") > 5
+
+
 def brute_removed(texts, n):
     words = [(t or "").encode().split() for t in texts]
     times = collections.Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
