@@ -47,6 +47,7 @@ class Settings:
     most_bytes: int = 12_000_000  # of all texts that are learned from
     held: int = 4  # one in so many labelled rows is never learned from
     bins: int = 16  # of a logit, for each unit
+    miss_cost: float = 2.0  # a toxic row that is let through counts like so many clean ones that are rejected
     shrink: float = 0.25  # weight of all languages' errors in a language's threshold
     seed: int = 7
     slice_bytes: int = 400_000
@@ -304,7 +305,7 @@ def calibrate(net: Net, scored: DataFrame, labels: DataFrame, fitted: DataFrame)
     if len(set(y.tolist())) < 2:
         return {None: 0.5}
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weight = {v: total[v] / n[y == v].sum() for v in (0, 1)}  # fitted rows are missing, more of one label than of the other
+    weight = {v: total[v] / n[y == v].sum() * (net.s.miss_cost if v else 1.0) for v in (0, 1)}  # fitted rows are missing, more of one label than of the other
     counts = [(*c[:3], c[3] * weight[c[1]]) for c in counts]
     net.scale, net.shift = logistic(np.array([(c[2] + 0.5) / net.s.bins for c in counts]), y.astype(float), np.array([c[3] for c in counts]))
     return {None: 0.5} | thresholds_of(net, counts)
