@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from strideatlas.operators import raster
 from strideatlas.sources import backup, gpx, importer, osm_pbf, overpass, timeline, visited_tiles
-from strideatlas.sources.points import fnv1a, js_number
+from strideatlas.sources.points import fnv1a, js_number, track_id
 
 GPX = """<?xml version='1.0'?><gpx><wpt lat="1" lon="1"><name>no</name></wpt><trk><name><![CDATA[A & B]]></name><!-- <trkpt lat="9" lon="9"/> -->
 <trkseg><trkpt lat='40.70' lon='-73.95'><time>2024-05-01T10:00:00Z</time><extensions><time>1999-01-01T00:00:00Z</time></extensions></trkpt>
@@ -30,6 +31,17 @@ def test_ids_follow_utf16_units():
     assert js_number(40.0) == "40" and js_number(1e-7) == "0.0000001" and js_number(-73.95) == "-73.95" and js_number(0.00001) == "0.00001"
 
 
+def test_tracks_of_a_file_share_no_id():
+    """The hashes of these two tracks are equal; the first keeps its id, both have the form of one, and reruns agree."""
+    point = '<trkpt lat="{}" lon="{}"/>'.format
+    text = f"<gpx><trk><trkseg>{point(40.00227, 0.00064)}{point(40, 0)}</trkseg><trkseg>{point(41.00317, 0.00063)}{point(41, 0)}</trkseg></trk></gpx>"
+    found = gpx.parse("a.gpx", text).tracks
+    assert [track_id("gpx", "a.gpx", k, points) for k, (_, _, points) in enumerate(found)] == ["gpx-cbd53969"] * 2
+    ids = [key for key, _, _ in found]
+    assert ids[0] == "gpx-cbd53969" != ids[1] and all(re.fullmatch("gpx-[0-9a-f]{8}", key) for key in ids)
+    assert ids == [key for key, _, _ in gpx.parse("a.gpx", text).tracks]
+
+
 @pytest.mark.parametrize("v", ["40.5, -73.9", "40.5°, -73.9°", {"latLng": "40.5°,-73.9°"}, {"latitude": 40.5, "longitude": "-73.9"}, {"lat": 40.5, "lng": -73.9}, {"latitudeE7": 405000000, "longitudeE7": -739000000}, {"latE7": 405000000, "lngE7": -739000000}])
 def test_places(v):
     assert timeline.place(v) == (-73.9, 40.5)
