@@ -85,7 +85,7 @@ def placed(rows: DataFrame, mix: Mix, sized: DataFrame | None = None) -> DataFra
     digits = max(mix.least_digits, math.ceil(math.log(max(1, sized.count()) / mix.rows_per_bucket + 1, 16)))
     keyed = lambda df: df.withColumn("bucket", F.substring("order_key", 1, digits)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     rows = keyed(rows)
-    sums = checkpointed(keyed(sized).groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.min("source").alias("of")))
+    sums = keyed(sized).groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.min("source").alias("of"))
     by_source = targets(sums.groupBy(F.col("of").alias("source")).agg(F.sum("bucket_size").alias("source_size")), mix)
     by_source = by_source.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
     running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -672,3 +672,17 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def counted_checkpoints(monkeypatch, module):
+    from strideatlas.llm import common
+
+    calls = []
+    monkeypatch.setattr(f"strideatlas.llm.{module}.checkpointed", lambda df: calls.append(1) or common.checkpointed(df))
+    return calls
+
+
+def test_mixing_writes_the_sizes_alone(spark, monkeypatch):
+    calls = counted_checkpoints(monkeypatch, "mixing")
+    plan = mixing.plan(docs_of(spark, ["one two three", "four", None, "five six"])).collect()
+    assert len(calls) == 1 and sum(x["size"] for x in plan) == 6
