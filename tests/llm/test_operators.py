@@ -682,6 +682,22 @@ def counted_checkpoints(monkeypatch, module):
     return calls
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    """Every checkpoint is a file and some processes for each partition, so none is written only to see that nothing changed."""
+    calls = counted_checkpoints(monkeypatch, "components")
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame([(0, i) for i in range(1, 50)] + [(70, 60)], "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(50), 0), 60: 60, 70: 60} and len(calls) == 1
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0 and len(calls) == 2
+    r = random.Random(21)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)]
+    label = list(range(150))
+    for _ in range(150):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: label[x] for a, b in edges if a != b for x in (a, b)}
+
+
 def test_mixing_writes_the_sizes_alone(spark, monkeypatch):
     calls = counted_checkpoints(monkeypatch, "mixing")
     plan = mixing.plan(docs_of(spark, ["one two three", "four", None, "five six"])).collect()
